@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from reportmill.config import CITIES, CITY_BY_ID, EARTH_RADIUS_KM
+from reportmill.functions.patterns import let
 
 MIN_RESOLUTION, MAX_RESOLUTION, DEFAULT_RESOLUTION = 5, 10, 8
 _EDGE_KM_AT_7 = 1.41
@@ -32,34 +33,46 @@ def km_per_degree_lng(city: str) -> float:
     return km_per_degree_lat() * math.cos(math.radians(CITY_BY_ID[city].lat))
 
 
-def _per_city(city: Column, value) -> Column:
-    out = F.lit(None).cast("double")
+def _frame(city: Column) -> Column:
+    """struct(lat, lng, kx) of a city's grid origin and its km per degree of longitude."""
+    out = None
     for c in CITIES:
-        out = F.when(city == c.id, F.lit(float(value(c)))).otherwise(out)
+        origin = F.struct(F.lit(c.lat).alias("lat"), F.lit(c.lng).alias("lng"), F.lit(km_per_degree_lng(c.id)).alias("kx"))
+        out = F.when(city == c.id, origin) if out is None else out.when(city == c.id, origin)
     return out
 
 
 def axial(city: Column, lat: Column, lng: Column, resolution: int) -> Column:
     """struct(q, r) of the cell that holds a point."""
     a = edge_km(resolution)
-    x = (lng - _per_city(city, lambda c: c.lng)) * _per_city(city, lambda c: km_per_degree_lng(c.id))
-    y = (lat - _per_city(city, lambda c: c.lat)) * km_per_degree_lat()
-    q = (x * (math.sqrt(3) / 3) - y / 3) / a
-    r = (y * (2 / 3)) / a
-    s = -q - r
-    rq, rr, rs = F.floor(q + 0.5), F.floor(r + 0.5), F.floor(s + 0.5)
-    dq, dr, ds = F.abs(rq - q), F.abs(rr - r), F.abs(rs - s)
-    q_worst = (dq > dr) & (dq > ds)
-    r_worst = ~q_worst & (dr > ds)
-    return F.struct(
-        F.when(q_worst, -rr - rs).otherwise(rq).alias("q"),
-        F.when(r_worst, -rq - rs).otherwise(rr).alias("r"),
-    )
+
+    def plane(f: Column) -> Column:
+        x, y = (lng - f["lng"]) * f["kx"], (lat - f["lat"]) * km_per_degree_lat()
+        return F.struct(((x * (math.sqrt(3) / 3) - y / 3) / a).alias("q"), ((y * (2 / 3)) / a).alias("r"))
+
+    def rounded(p: Column) -> Column:
+        s = -p["q"] - p["r"]
+        near = [F.floor(v + 0.5) for v in (p["q"], p["r"], s)]
+        off = [F.abs(n - v) for n, v in zip(near, (p["q"], p["r"], s))]
+        names = ("q", "r", "s", "dq", "dr", "ds")
+        return F.struct(*[v.alias(n) for n, v in zip(names, near + off)])
+
+    def settled(n: Column) -> Column:
+        q_worst = (n["dq"] > n["dr"]) & (n["dq"] > n["ds"])
+        r_worst = ~q_worst & (n["dr"] > n["ds"])
+        return F.struct(
+            F.when(q_worst, -n["r"] - n["s"]).otherwise(n["q"]).alias("q"),
+            F.when(r_worst, -n["q"] - n["s"]).otherwise(n["r"]).alias("r"),
+        )
+
+    return let(_frame(city), lambda f: let(plane(f), lambda p: let(rounded(p), settled)))
 
 
 def cell_id(city: Column, lat: Column, lng: Column, resolution: int) -> Column:
-    at = axial(city, lat, lng, resolution)
-    return F.concat_ws(":", city, F.lit(str(resolution)), at["q"].cast("string"), at["r"].cast("string"))
+    return let(
+        axial(city, lat, lng, resolution),
+        lambda at: F.concat_ws(":", city, F.lit(str(resolution)), at["q"].cast("string"), at["r"].cast("string")),
+    )
 
 
 def parse_cell(cell: str) -> tuple[str, int]:
@@ -70,33 +83,42 @@ def parse_cell(cell: str) -> tuple[str, int]:
     return found[1], int(found[2])
 
 
-def _center_xy(cell: Column, resolution: Column | int) -> tuple[Column, Column, Column]:
-    parts = F.split(cell, ":")
-    q, r = F.element_at(parts, 3).cast("long"), F.element_at(parts, 4).cast("long")
-    a = F.lit(edge_km(resolution)) if isinstance(resolution, int) else F.lit(_EDGE_KM_AT_7) * F.pow(F.lit(7.0), (7 - resolution) / 2)
-    return (q + r / 2) * math.sqrt(3) * a, r * 1.5 * a, a
+def _with_center(cell: Column, resolution: int, body) -> Column:
+    """``body`` of a struct holding the grid frame and the centre's plane position in km."""
+    a = edge_km(resolution)
 
+    def place(parts: Column) -> Column:
+        q, r = F.element_at(parts, 3).cast("long"), F.element_at(parts, 4).cast("long")
+        return F.struct(
+            _frame(F.element_at(parts, 1)).alias("f"),
+            ((q + r / 2) * (math.sqrt(3) * a)).alias("x"),
+            (r * (1.5 * a)).alias("y"),
+        )
 
-def _lat_lng(city: Column, x: Column, y: Column) -> tuple[Column, Column]:
-    lat = y / km_per_degree_lat() + _per_city(city, lambda c: c.lat)
-    lng = x / _per_city(city, lambda c: km_per_degree_lng(c.id)) + _per_city(city, lambda c: c.lng)
-    return F.round(lat, 6), F.round(lng, 6)
+    return let(F.split(cell, ":"), lambda parts: let(place(parts), body))
+
+
+def _lat(c: Column, dy: float = 0.0) -> Column:
+    return F.round((c["y"] + dy) / km_per_degree_lat() + c["f"]["lat"], 6)
+
+
+def _lng(c: Column, dx: float = 0.0) -> Column:
+    return F.round((c["x"] + dx) / c["f"]["kx"] + c["f"]["lng"], 6)
 
 
 def cell_center(cell: Column, resolution: int) -> Column:
     """struct(lat, lng) of a cell's centre, six decimals."""
-    x, y, _ = _center_xy(cell, resolution)
-    lat, lng = _lat_lng(F.element_at(F.split(cell, ":"), 1), x, y)
-    return F.struct(lat.alias("lat"), lng.alias("lng"))
+    return _with_center(cell, resolution, lambda c: F.struct(_lat(c).alias("lat"), _lng(c).alias("lng")))
 
 
 def cell_ring(cell: Column, resolution: int) -> Column:
     """Closed ring of seven struct(lng, lat) corners."""
-    x, y, a = _center_xy(cell, resolution)
-    city = F.element_at(F.split(cell, ":"), 1)
-    corners = []
-    for i in range(7):
-        angle = math.pi / 180 * (60 * (i % 6) - 30)
-        lat, lng = _lat_lng(city, x + a * math.cos(angle), y + a * math.sin(angle))
-        corners.append(F.struct(lng.alias("lng"), lat.alias("lat")))
-    return F.array(*corners)
+    a = edge_km(resolution)
+    angles = [math.pi / 180 * (60 * (i % 6) - 30) for i in range(7)]
+    return _with_center(
+        cell,
+        resolution,
+        lambda c: F.array(
+            *[F.struct(_lng(c, a * math.cos(t)).alias("lng"), _lat(c, a * math.sin(t)).alias("lat")) for t in angles]
+        ),
+    )

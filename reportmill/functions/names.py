@@ -7,12 +7,13 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from reportmill.config import EARTH_RADIUS_KM, NOT_PLACES
-from reportmill.functions.patterns import portable
+from reportmill.functions.patterns import let, portable
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decomposed(text: pd.Series) -> pd.Series:
     return text.map(lambda s: s if s is None else unicodedata.normalize("NFKD", s))
 
@@ -29,7 +30,7 @@ def normalize_name(text: Column) -> Column:
     rest passes the worker as null.
     """
     plain = F.coalesce(_decomposed(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
-    out = F.lower(F.regexp_replace(plain, "[̀-ͯ]", ""))
+    out = F.lower(F.regexp_replace(plain, r"[\u0300-\u036f]", ""))
     out = F.regexp_replace(out, _DOTTED_PS, " ")
     out = F.regexp_replace(out, "[^a-z0-9]+", " ")
     out = F.regexp_replace(out, _POLICE_WORDS, " ")
@@ -53,14 +54,13 @@ def place_phrase(text: Column) -> Column:
     def vague(word: Column) -> Column:
         return F.regexp_replace(F.lower(word), "[^A-Za-z0-9_]", "").isin(*NOT_PLACES)
 
-    def usable(phrase: Column) -> Column:
-        words = F.split(phrase, portable(r"\s+"))
+    def usable(words: Column) -> Column:
         keep = F.array_max(F.transform(words, lambda w, i: F.when(~vague(w), i + 1).otherwise(0)))
         joined = F.regexp_replace(F.array_join(F.slice(words, F.lit(1), keep), " "), r"[.,]+\z", "")
-        ok = (keep > 0) & ~vague(F.element_at(words, 1)) & (F.length(joined) >= 4)
-        return F.when(ok, joined)
+        return F.when(~vague(F.element_at(words, 1)), let(joined, lambda p: F.when(F.length(p) >= 4, p)))
 
-    return F.try_element_at(F.filter(F.transform(phrases, usable), lambda p: p.isNotNull()), F.lit(1))
+    usable_phrases = F.transform(phrases, lambda p: let(F.split(p, portable(r"\s+")), usable))
+    return F.try_element_at(F.filter(usable_phrases, lambda p: p.isNotNull()), F.lit(1))
 
 
 def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:

@@ -6,12 +6,14 @@ written for ASCII word boundaries and Unicode spaces, so both are spelled out.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _WORD = "A-Za-z0-9_"
 _EDGE = f"(?:(?<![{_WORD}])(?=[{_WORD}])|(?<=[{_WORD}])(?![{_WORD}]))"
-_SPACES = r"\s   -     　﻿"
+_SPACES = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def portable(pattern: str, ignore_case: bool = False) -> str:
@@ -50,3 +52,12 @@ def trimmed(text: Column) -> Column:
 
 def blank(text: Column) -> Column:
     return ~text.rlike(f"[^{_SPACES}]")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluates ``value`` once and hands it to ``body``.
+
+    Without it an expression that uses an intermediate value several times is planned as that
+    many copies, and nested rules grow exponentially.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)

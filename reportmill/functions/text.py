@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from reportmill.config import ARREST_WORDS, EXCLUDE_WORDS, MAX_DESCRIPTION, TAXONOMY, Taxonomy
-from reportmill.functions.patterns import portable, trimmed, whole_words
+from reportmill.functions.patterns import let, portable, trimmed, whole_words
 from reportmill.functions.urls import slug_title_lenient
 
 
@@ -82,26 +82,33 @@ def clean_title(title: Column) -> Column:
 
 
 def clean_text(text: Column) -> Column:
-    scrubbed = scrub_pii(text)
-    return F.when(scrubbed != "", scrubbed)
+    return F.nullif(scrub_pii(text), F.lit(""))
 
 
 def clean_description(text: Column, limit: int = MAX_DESCRIPTION) -> Column:
     """Scrubbed text of at most ``limit`` characters, cut at a word where that keeps over 60 %."""
-    whole = scrub_pii(F.coalesce(text, F.lit("")))
-    cut = F.substring(whole, 1, limit - 1)
-    last_space = F.length(cut) - F.length(F.substring_index(cut, " ", -1)) - 1
-    kept = F.when(last_space > limit * 0.6, F.substring(cut, F.lit(1), last_space)).otherwise(cut)
-    short = F.concat(F.regexp_replace(kept, portable(r"[\s,;:.-]+$"), ""), F.lit("…"))
-    return F.when(whole == "", None).when(F.length(whole) <= limit, whole).otherwise(short)
+
+    def shorten(cut: Column) -> Column:
+        last_space = F.length(cut) - F.length(F.substring_index(cut, " ", -1)) - 1
+        kept = F.when(last_space > limit * 0.6, F.substring(cut, F.lit(1), last_space)).otherwise(cut)
+        return F.concat(F.regexp_replace(kept, portable(r"[\s,;:.-]+$"), ""), F.lit("…"))
+
+    def fit(whole: Column) -> Column:
+        short = let(F.substring(whole, 1, limit - 1), shorten)
+        return F.when(F.length(whole) <= limit, F.nullif(whole, F.lit(""))).otherwise(short)
+
+    return let(scrub_pii(F.coalesce(text, F.lit(""))), fit)
 
 
 def likely_incident(title: Column, url: Column, taxonomy: Taxonomy = TAXONOMY) -> Column:
     """Headline test made before a page is fetched; a blank title is replaced by the words of the address."""
+
+    def wanted(text: Column) -> Column:
+        hit = (classify(text, taxonomy) != taxonomy.fallback) | text.rlike(whole_words(ARREST_WORDS))
+        return (text != "") & ~text.rlike(whole_words(EXCLUDE_WORDS)) & hit
+
     has_title = F.coalesce(title.rlike(portable(r"[^\s]")), F.lit(False))
-    text = F.when(has_title, title).otherwise(F.coalesce(slug_title_lenient(url), F.lit("")))
-    wanted = (classify(text, taxonomy) != taxonomy.fallback) | text.rlike(whole_words(ARREST_WORDS))
-    return (text != "") & ~text.rlike(whole_words(EXCLUDE_WORDS)) & wanted
+    return let(F.when(has_title, title).otherwise(slug_title_lenient(url)), wanted)
 
 
 def split_keywords(joined: Column) -> Column:

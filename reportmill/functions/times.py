@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from reportmill.config import WINDOW_DAYS
-from reportmill.functions.patterns import portable, trimmed, whole_words
+from reportmill.functions.patterns import let, portable, trimmed, whole_words
 
 IST_SECONDS = 19_800
 DAY_SECONDS = 86_400
@@ -53,10 +53,17 @@ def ist_day(ts: Column) -> Column:
 
 def day_number(year: Column, month: Column, day: Column) -> Column:
     """Days since 1970-01-01 of a proleptic Gregorian date; ``day`` may run past the month's end."""
-    y = year - F.when(month <= 2, 1).otherwise(0)
-    shifted = F.when(month > 2, month - 3).otherwise(month + 9)
-    leap = F.floor(y / 4) - F.floor(y / 100) + F.floor(y / 400)
-    return (y * 365 + leap + F.floor((shifted * 153 + 2) / 5) + day - 1 - 719_468).cast("long")
+
+    def count(ym: Column) -> Column:
+        y, m = ym["y"], ym["m"]
+        leap = F.floor(y / 4) - F.floor(y / 100) + F.floor(y / 400)
+        return (y * 365 + leap + F.floor((m * 153 + 2) / 5) + day - 1 - 719_468).cast("long")
+
+    shifted = F.struct(
+        (year - F.when(month <= 2, 1).otherwise(0)).alias("y"),
+        F.when(month > 2, month - 3).otherwise(month + 9).alias("m"),
+    )
+    return let(shifted, count)
 
 
 def _int(text: Column) -> Column:
@@ -90,38 +97,49 @@ def _offset_minutes(zone: Column, default: Column) -> Column:
 
 def _instant_of(y: Column, m: Column, d: Column, hh: Column, mm: Column, ss: Column, frac: Column, offset: Column) -> Column:
     zero = F.lit(0)
-    h, mi, s = F.coalesce(_int(hh), zero), F.coalesce(_int(mm), zero), F.coalesce(_int(ss), zero)
-    year, month, day = _int(y), _int(m), _int(d)
-    micros = F.coalesce(F.rpad(frac, 6, "0").try_cast("long"), F.lit(0).cast("long"))
-    seconds = day_number(year, month, day) * DAY_SECONDS + h * 3600 + mi * 60 + s - offset * 60
-    valid = month.between(1, 12) & day.between(1, 31) & (h <= 23) & (mi <= 59) & (s <= 59)
-    return F.when(valid, _from_micros(seconds * 1_000_000 + micros))
+    fields = F.struct(
+        _int(y).alias("y"), _int(m).alias("m"), _int(d).alias("d"),
+        F.coalesce(_int(hh), zero).alias("h"), F.coalesce(_int(mm), zero).alias("mi"), F.coalesce(_int(ss), zero).alias("s"),
+        F.coalesce(F.rpad(frac, 6, "0").try_cast("long"), F.lit(0).cast("long")).alias("us"), offset.alias("off"),
+    )
+
+    def build(f: Column) -> Column:
+        seconds = day_number(f["y"], f["m"], f["d"]) * DAY_SECONDS + f["h"] * 3600 + f["mi"] * 60 + f["s"] - f["off"] * 60
+        valid = f["m"].between(1, 12) & f["d"].between(1, 31) & (f["h"] <= 23) & (f["mi"] <= 59) & (f["s"] <= 59)
+        return F.when(valid, _from_micros(seconds * 1_000_000 + f["us"]))
+
+    return let(fields, build)
 
 
 def parse_iso(text: Column, date_offset: int = 0, local_offset: int = 0) -> Column:
     """ISO date or date-time; offsets (minutes) are for text without one. Null when it is not one."""
-    g = lambda i: F.regexp_extract(text, _ISO, i)
-    zone = F.when(g(4) == "", F.lit(date_offset)).otherwise(_offset_minutes(g(8), F.lit(local_offset)))
-    return F.when(text.rlike(_ISO), _instant_of(g(1), g(2), g(3), g(4), g(5), g(6), g(7), zone))
+
+    def read(t: Column) -> Column:
+        g = [F.regexp_extract(t, _ISO, i) for i in range(9)]
+        zone = F.when(g[4] == "", F.lit(date_offset)).otherwise(_offset_minutes(g[8], F.lit(local_offset)))
+        return F.when(t.rlike(_ISO), _instant_of(*g[1:8], zone))
+
+    return let(text, read)
 
 
 def _parse_rfc(text: Column) -> Column:
-    g = lambda i: F.regexp_extract(text, _RFC, i)
-    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.substring(g(2), 1, 3)))
-    out = _instant_of(g(3), month.cast("string"), g(1), g(4), g(5), g(6), F.lit(""), _offset_minutes(g(7), F.lit(0)))
-    return F.when(text.rlike(_RFC), out)
+    def read(t: Column) -> Column:
+        g = [F.regexp_extract(t, _RFC, i) for i in range(8)]
+        month = _month_index(g[2]).cast("string")
+        zone = _offset_minutes(g[7], F.lit(0))
+        return F.when(t.rlike(_RFC), _instant_of(g[3], month, g[1], g[4], g[5], g[6], F.lit(""), zone))
+
+    return let(text, read)
 
 
 def parse_feed_date(text: Column) -> Column:
     """ISO or RFC 822 date of a feed or page; null when it is neither."""
-    t = trimmed(text)
-    return F.coalesce(parse_iso(t), _parse_rfc(t))
+    return let(trimmed(text), lambda t: F.coalesce(parse_iso(t), _parse_rfc(t)))
 
 
 def parse_police_date(text: Column) -> Column:
     """Police dates are Indian time unless they carry an offset."""
-    t = trimmed(text)
-    return F.coalesce(parse_iso(t, 330, 330), _parse_rfc(t))
+    return let(trimmed(text), lambda t: F.coalesce(parse_iso(t, 330, 330), _parse_rfc(t)))
 
 
 def effective_time(incident: Column, published: Column) -> Column:
@@ -151,72 +169,118 @@ def _month_index(name: Column) -> Column:
     return F.when(name != "", found.cast("int"))
 
 
-def _night_day(lead: Column, pub_day: Column, pub_year: Column, pub_month: Column) -> Column:
-    """Day number of 'night of 20/21 [month [year]]', or null."""
-    phrase = F.regexp_extract(lead, _NIGHT, 0)
-    g = lambda i: F.regexp_extract(phrase, _NIGHT, i)
-    first, second = _int(g(1)), _int(g(2))
-    month = F.coalesce(_int(g(3)), _month_index(g(5)))
-    year_text = F.when(g(4) != "", g(4)).otherwise(g(6))
-    given_year = F.when(F.length(year_text) == 2, _int(year_text) + 2000).otherwise(_int(year_text))
-    # No month: the publication month, or the one before when that day is still to come.
-    future = day_number(pub_year, pub_month, first) > pub_day
-    back = F.when(future, 1).otherwise(0)
-    open_month = F.when(pub_month - back < 1, F.lit(12)).otherwise(pub_month - back)
-    open_year = F.when(pub_month - back < 1, pub_year - 1).otherwise(pub_year)
-    # Month but no year: this year, or last year when that day is still to come.
-    rolled = F.when(day_number(pub_year, month, first) > pub_day, pub_year - 1).otherwise(pub_year)
-    m = F.coalesce(month, open_month)
-    y = F.when(month.isNull(), open_year).otherwise(F.coalesce(given_year, rolled))
-    day = day_number(y, m, first)
-    next_month = day_number(F.when(m == 12, y + 1).otherwise(y), F.when(m == 12, F.lit(1)).otherwise(m + 1), F.lit(1))
-    ok = (
-        (phrase != "") & first.between(1, 31) & ((second == first + 1) | (second == 1))
-        & m.between(1, 12) & (day < next_month)
+def _night_day(phrase: Column, pub: Column) -> Column:
+    """Day number of 'night of 20/21 [month [year]]', or null. ``pub`` holds day, year, month."""
+    g = [F.regexp_extract(phrase, _NIGHT, i) for i in range(7)]
+    year_text = F.when(g[4] != "", g[4]).otherwise(g[6])
+    given = F.struct(
+        _int(g[1]).alias("first"),
+        _int(g[2]).alias("second"),
+        F.coalesce(_int(g[3]), _month_index(g[5])).alias("month"),
+        F.when(F.length(year_text) == 2, _int(year_text) + 2000).otherwise(_int(year_text)).alias("year"),
     )
-    return F.when(ok, day)
 
-
-def _explicit_day(lead: Column, pub_day: Column, pub_year: Column) -> Column:
+    def place(n: Column) -> Column:
+        future = day_number(pub["year"], F.coalesce(n["month"], pub["month"]), n["first"]) > pub["day"]
+        back = F.when(future, 1).otherwise(0)
+        # No month: the publication month, or the one before when that day is still to come.
+        # Month but no year: this year, or last year when that day is still to come.
+        wraps = pub["month"] - back < 1
+        open_month = F.when(wraps, F.lit(12)).otherwise(pub["month"] - back)
+        open_year = F.when(wraps, pub["year"] - 1).otherwise(pub["year"])
+        return F.struct(
+            F.coalesce(n["month"], open_month).alias("m"),
+            F.when(n["month"].isNull(), open_year).otherwise(F.coalesce(n["year"], pub["year"] - back)).alias("y"),
+            n["first"].alias("d"),
+            ((n["second"] == n["first"] + 1) | (n["second"] == 1)).alias("pair"),
+        )
+
+    def check(c: Column) -> Column:
+        december = c["m"] == 12
+        next_month = day_number(
+            F.when(december, c["y"] + 1).otherwise(c["y"]), F.when(december, F.lit(1)).otherwise(c["m"] + 1), F.lit(1)
+        )
+        day = day_number(c["y"], c["m"], c["d"])
+        return F.when(c["pair"] & c["d"].between(1, 31) & c["m"].between(1, 12) & (day < next_month), day)
+
+    return F.when(phrase != "", let(given, lambda n: let(place(n), check)))
+
+
+def _explicit_day(phrase: Column, pub: Column) -> Column:
     """Day number of 'on 11th September' / 'on September 11', or null."""
-    phrase = F.regexp_extract(lead, _EXPLICIT, 0)
-    g = lambda i: F.regexp_extract(phrase, _EXPLICIT, i)
-    day = F.coalesce(_int(g(1)), _int(g(4)))
-    month = F.coalesce(_month_index(g(2)), _month_index(g(3)))
-    this_year = day_number(pub_year, month, day)
-    chosen = F.when(this_year > pub_day, day_number(pub_year - 1, month, day)).otherwise(this_year)
-    return F.when((phrase != "") & day.between(1, 31), chosen)
+    g = [F.regexp_extract(phrase, _EXPLICIT, i) for i in range(5)]
+    given = F.struct(
+        F.coalesce(_int(g[1]), _int(g[4])).alias("d"), F.coalesce(_month_index(g[2]), _month_index(g[3])).alias("m")
+    )
+
+    def place(n: Column) -> Column:
+        this_year = day_number(pub["year"], n["m"], n["d"])
+        last_year = day_number(pub["year"] - 1, n["m"], n["d"])
+        return F.when(n["d"].between(1, 31), F.when(this_year > pub["day"], last_year).otherwise(this_year))
+
+    return F.when(phrase != "", let(given, place))
+
+
+def _clock_seconds(clock: Column) -> Column:
+    """Seconds after midnight of '11.30pm', or null."""
+    given = F.struct(
+        _int(F.regexp_extract(clock, _CLOCK, 1)).alias("h"),
+        F.coalesce(_int(F.regexp_extract(clock, _CLOCK, 2)), F.lit(0)).alias("m"),
+        F.lower(F.regexp_extract(clock, _CLOCK, 3)).startswith("p").alias("pm"),
+    )
+
+    def read(t: Column) -> Column:
+        hour = t["h"] % 12 + F.when(t["pm"], 12).otherwise(0)
+        return F.when(t["h"].between(1, 12) & (t["m"] <= 59), hour * 3600 + t["m"] * 60)
+
+    return F.when(clock != "", let(given, read))
 
 
 def incident_time(text: Column, published: Column) -> Column:
     """struct(incident_at, precision) read from the first 1,500 characters of an article."""
-    lead = F.substring(text, 1, _LEAD)
     local = to_ist(published)
-    pub_day = F.unix_date(F.to_date(local)).cast("long")
-    pub_year, pub_month = F.year(local), F.month(local)
-    night = _night_day(lead, pub_day, pub_year, pub_month)
-    weekday = F.lower(F.regexp_extract(lead, _WEEKDAY, 0))
-    target = F.array_position(F.array(*[F.lit(w) for w in WEEKDAYS]), weekday) - 1
-    back = F.pmod(F.dayofweek(local) - 1 - target, F.lit(7))
-    day = F.coalesce(
-        _explicit_day(lead, pub_day, pub_year),
-        F.when(weekday != "", pub_day - back),
-        F.when(lead.rlike(_YESTERDAY), pub_day - 1),
-        F.when(lead.rlike(_TODAY), pub_day),
-    )
-    clock = F.regexp_extract(lead, _CLOCK, 0)
-    c = lambda i: F.regexp_extract(clock, _CLOCK, i)
-    hour, minute = _int(c(1)), F.coalesce(_int(c(2)), F.lit(0))
-    usable = (clock != "") & hour.between(1, 12) & (minute <= 59)
-    pm = F.lower(c(3)).startswith("p")
-    hour24 = F.when(pm & (hour != 12), hour + 12).when(~pm & (hour == 12), F.lit(0)).otherwise(hour)
-    seconds = F.when(usable, hour24 * 3600 + minute * 60)
-    chosen = F.coalesce(night, day)
-    at = chosen * DAY_SECONDS - IST_SECONDS + F.when(night.isNull(), F.coalesce(seconds, F.lit(0))).otherwise(0)
-    precision = (
-        F.when(night.isNotNull(), F.lit("date_range"))
-        .when(day.isNull(), F.lit("unknown"))
-        .when(seconds.isNotNull(), F.lit("exact"))
-        .otherwise(F.lit("date"))
+    found = lambda lead: F.struct(
+        F.regexp_extract(lead, _NIGHT, 0).alias("night"),
+        F.regexp_extract(lead, _EXPLICIT, 0).alias("explicit"),
+        F.lower(F.regexp_extract(lead, _WEEKDAY, 0)).alias("weekday"),
+        lead.rlike(_YESTERDAY).alias("yesterday"),
+        lead.rlike(_TODAY).alias("today"),
+        F.regexp_extract(lead, _CLOCK, 0).alias("clock"),
+        F.struct(
+            F.unix_date(F.to_date(local)).cast("long").alias("day"),
+            F.year(local).alias("year"),
+            F.month(local).alias("month"),
+            (F.dayofweek(local) - 1).alias("weekday"),
+        ).alias("pub"),
     )
-    return F.struct(_from_micros(at * 1_000_000).alias("incident_at"), precision.alias("precision"))
+
+    def days(f: Column) -> Column:
+        target = F.array_position(F.array(*[F.lit(w) for w in WEEKDAYS]), f["weekday"]) - 1
+        back = F.pmod(f["pub"]["weekday"] - target, F.lit(7))
+        today = f["pub"]["day"]
+        return F.struct(
+            _night_day(f["night"], f["pub"]).alias("night"),
+            F.coalesce(
+                _explicit_day(f["explicit"], f["pub"]),
+                F.when(f["weekday"] != "", today - back),
+                F.when(f["yesterday"], today - 1),
+                F.when(f["today"], today),
+            ).alias("day"),
+            _clock_seconds(f["clock"]).alias("clock"),
+        )
+
+    def result(d: Column) -> Column:
+        night = d["night"].isNotNull()
+        seconds = F.when(night, F.lit(0)).otherwise(F.coalesce(d["clock"], F.lit(0)))
+        at = F.coalesce(d["night"], d["day"]) * DAY_SECONDS - IST_SECONDS + seconds
+        precision = (
+            F.when(night, F.lit("date_range"))
+            .when(d["day"].isNull(), F.lit("unknown"))
+            .when(d["clock"].isNotNull(), F.lit("exact"))
+            .otherwise(F.lit("date"))
+        )
+        return F.struct(_from_micros(at * 1_000_000).alias("incident_at"), precision.alias("precision"))
+
+    empty = F.struct(F.lit(None).cast("timestamp").alias("incident_at"), F.lit("unknown").alias("precision"))
+    lead = F.substring(text, 1, _LEAD)
+    return F.when(text.isNull(), empty).otherwise(let(lead, lambda t: let(found(t), lambda f: let(days(f), result))))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from reportmill.functions.patterns import trimmed
+from reportmill.functions.patterns import let, trimmed
 
 # scheme, user info, host, port, path, query, fragment
 _URL = r"^(?i:(https?)):[/\\]*((?:[^/\\?#@]*@)?)([^/\\?#:@\s<>^|%\[\]]+)(?::(\d*))?([/\\][^?#]*)?(\?[^#]*)?(#.*)?\z"
@@ -17,14 +17,23 @@ _PATH_UNSAFE = r"[^\x21-\x7e]|[\"<>`{}^]"
 _QUERY_UNSAFE = r"[^\x21-\x7e]|[\"<>']"
 
 
-def _part(url: Column, index: int) -> Column:
-    return F.regexp_extract(_tidy(url), _URL, index)
+_NAMES = ("scheme", "user", "host", "port", "path", "query")
 
 
 def _tidy(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+\z", ""), r"[\t\n\r]", "")
 
 
+def _with_parts(url: Column, body) -> Column:
+    """``body`` of the parsed address (a struct); null when it cannot be used."""
+
+    def split(text: Column) -> Column:
+        parts = F.struct(*[F.regexp_extract(text, _URL, i + 1).alias(n) for i, n in enumerate(_NAMES)])
+        return F.when(text.rlike(_URL), let(parts, body))
+
+    return let(_tidy(url), split)
+
+
 def is_http_url(url: Column) -> Column:
     return F.coalesce(_tidy(url).rlike(_URL), F.lit(False))
 
@@ -41,25 +50,34 @@ def _percent(text: Column, unsafe: str) -> Column:
     return F.when(text.rlike(unsafe), encoded).otherwise(text)
 
 
-def url_path(url: Column) -> Column:
+def _path(p: Column) -> Column:
     """Path with a leading slash ('/' when the address has none)."""
-    raw = F.replace(_part(url, 5), F.lit("\\"), F.lit("/"))
-    return F.when(raw == "", F.lit("/")).otherwise(_percent(raw, _PATH_UNSAFE))
+    return let(
+        F.replace(p["path"], F.lit("\\"), F.lit("/")),
+        lambda raw: F.when(raw == "", F.lit("/")).otherwise(_percent(raw, _PATH_UNSAFE)),
+    )
+
+
+def _authority(p: Column, dropped_ports: Column) -> Column:
+    port = F.when((p["port"] == "") | F.array_contains(dropped_ports, p["port"]), F.lit("")).otherwise(
+        F.concat(F.lit(":"), p["port"])
+    )
+    return F.concat(p["user"], F.lower(p["host"]), port)
 
 
-def _authority(url: Column, defaults: tuple[str, ...]) -> Column:
-    port = _part(url, 4)
-    kept = F.when((port == "") | port.isin(*defaults), F.lit("")).otherwise(F.concat(F.lit(":"), port))
-    return F.concat(_part(url, 2), F.lower(_part(url, 3)), kept)
+def _ports(p: Column, http: tuple[str, ...]) -> Column:
+    """Ports that go unsaid: the scheme's default."""
+    return F.when(F.lower(p["scheme"]) == "http", F.array(*map(F.lit, http))).otherwise(F.array(F.lit("443")))
 
 
 def canonical_url(url: Column) -> Column:
     """https, lower-case host, no query or fragment, one trailing slash dropped; null when unusable."""
-    path = url_path(url)
-    short = F.when((path != "/") & path.endswith("/"), F.regexp_replace(path, r"/\z", "")).otherwise(path)
-    is_http = F.lower(_part(url, 1)) == "http"
-    host = F.when(is_http, _authority(url, ("80", "443"))).otherwise(_authority(url, ("443",)))
-    return F.when(is_http_url(url), F.concat(F.lit("https://"), host, short))
+
+    def build(p: Column) -> Column:
+        short = let(_path(p), lambda path: F.when(path == "/", path).otherwise(F.regexp_replace(path, r"/\z", "")))
+        return F.concat(F.lit("https://"), _authority(p, _ports(p, ("80", "443"))), short)
+
+    return _with_parts(url, build)
 
 
 def report_id(link: Column) -> Column:
@@ -67,19 +85,25 @@ def report_id(link: Column) -> Column:
     return F.substring(F.sha1(link), 1, 12)
 
 
-def _slug_segment(url: Column) -> Column:
-    parts = F.filter(F.split(url_path(url), "/"), lambda s: s != "")
-    marker = F.array_position(parts, "articleshow")
-    dashed = F.filter(parts, lambda s: s.contains("-"))
-    longest = F.array_max(F.transform(dashed, lambda s, i: F.struct(F.length(s).alias("n"), (-i).alias("i"), s.alias("s"))))
-    before = F.try_element_at(parts, (marker - 1).cast("int"))
-    return F.when(marker > 1, before).otherwise(F.coalesce(longest["s"], F.lit("")))
+def _slug_segment(p: Column) -> Column:
+    def choose(parts: Column) -> Column:
+        marker = F.array_position(parts, "articleshow")
+        dashed = F.filter(parts, lambda s: s.contains("-"))
+        longest = F.array_max(
+            F.transform(dashed, lambda s, i: F.struct(F.length(s).alias("n"), (-i).alias("i"), s.alias("s")))
+        )
+        before = F.try_element_at(parts, (marker - 1).cast("int"))
+        return F.when(marker > 1, before).otherwise(F.coalesce(longest["s"], F.lit("")))
+
+    return let(F.filter(F.split(_path(p), "/"), lambda s: s != ""), choose)
 
 
 def _decoded(segment: Column) -> Column:
     """Percent-decoding that keeps '+'; null for broken escapes."""
-    out = F.try_url_decode(F.replace(segment, F.lit("+"), F.lit("%2B")))
-    return F.when(out.contains("�") & ~segment.rlike("(?i)%EF%BF%BD"), None).otherwise(out)
+    return let(
+        F.try_url_decode(F.replace(segment, F.lit("+"), F.lit("%2B"))),
+        lambda out: F.when(~out.contains("\ufffd") | segment.rlike("(?i)%EF%BF%BD"), out),
+    )
 
 
 def _headline(segment: Column) -> Column:
@@ -90,13 +114,13 @@ def _headline(segment: Column) -> Column:
 
 def slug_title(url: Column) -> Column:
     """Headline words of an address; null when the address or its escapes are broken."""
-    return F.when(is_http_url(url), _headline(_decoded(_slug_segment(url))))
+    return _with_parts(url, lambda p: _headline(let(_slug_segment(p), _decoded)))
 
 
 def slug_title_lenient(url: Column) -> Column:
     """As above, but '' for a broken address and the raw words for broken escapes."""
-    segment = _slug_segment(url)
-    return F.when(is_http_url(url), _headline(F.coalesce(_decoded(segment), segment))).otherwise(F.lit(""))
+    words = _with_parts(url, lambda p: _headline(let(_slug_segment(p), lambda s: F.coalesce(_decoded(s), s))))
+    return F.coalesce(words, F.lit(""))
 
 
 def encode_component(text: Column) -> Column:
@@ -109,11 +133,14 @@ def encode_component(text: Column) -> Column:
 
 def police_link(url: Column, source_type: Column, fir_no: Column, event_id: Column) -> Column:
     """Stored link of a police row: query kept, the incident number as fragment; null when unusable."""
-    is_http = F.lower(_part(url, 1)) == "http"
-    host = F.when(is_http, _authority(url, ("80",))).otherwise(_authority(url, ("443",)))
-    base = F.concat(F.lower(_part(url, 1)), F.lit("://"), host, url_path(url), _percent(_part(url, 6), _QUERY_UNSAFE))
     key = F.when(source_type != "news", F.coalesce(fir_no, event_id))
     fragment = F.when(F.coalesce(key, F.lit("")) == "", F.lit("")).otherwise(
         F.concat(F.lit("#"), encode_component(trimmed(key)))
     )
-    return F.when(is_http_url(url), F.concat(base, fragment))
+    base = _with_parts(
+        url,
+        lambda p: F.concat(
+            F.lower(p["scheme"]), F.lit("://"), _authority(p, _ports(p, ("80",))), _path(p), _percent(p["query"], _QUERY_UNSAFE)
+        ),
+    )
+    return F.concat(base, fragment)

@@ -1,10 +1,8 @@
-"""Explicit schemas; nothing in the library infers one."""
+"""Explicit schemas as DDL text; nothing in the library infers one."""
 
-from pyspark.sql import types as T
 
-
-def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(" ".join(spec.split()))
+def _struct(spec: str) -> str:
+    return " ".join(spec.split())
 
 
 # The stored report. Times are instants; IST text appears only at the JSON edge.
@@ -54,4 +52,4 @@ GEOCODE = _struct("key string, lat double, lng double, display_name string")
 
 LANDED = _struct("source string, url string, city string, status int, format string, body string, seq bigint")
 
-REPORT_COLUMNS = [f.name for f in REPORT_JSON]
+REPORT_COLUMNS = [field.split()[0] for field in REPORT_JSON.split(",")]
