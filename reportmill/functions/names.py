@@ -23,6 +23,14 @@ _DOTTED_PS = portable(r"\bp\.\s*s\.?(?=\s|$)")
 _POLICE_WORDS = portable(r"\b(?:police station|police post|police chowki|thana|ps)\b")
 
 
+def normalize_ascii(text: Column) -> Column:
+    """Normal form of text that is ASCII already."""
+    out = F.regexp_replace(F.lower(text), _DOTTED_PS, " ")
+    out = F.regexp_replace(out, "[^a-z0-9]+", " ")
+    out = F.regexp_replace(out, _POLICE_WORDS, " ")
+    return F.trim(F.regexp_replace(out, " +", " "))
+
+
 def normalize_name(text: Column) -> Column:
     """Lower-case ASCII words without marks or police words.
 
@@ -30,11 +38,7 @@ def normalize_name(text: Column) -> Column:
     rest passes the worker as null.
     """
     plain = F.coalesce(_decomposed(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
-    out = F.lower(F.regexp_replace(plain, r"[\u0300-\u036f]", ""))
-    out = F.regexp_replace(out, _DOTTED_PS, " ")
-    out = F.regexp_replace(out, "[^a-z0-9]+", " ")
-    out = F.regexp_replace(out, _POLICE_WORDS, " ")
-    return F.trim(F.regexp_replace(out, " +", " "))
+    return normalize_ascii(F.regexp_replace(plain, r"[\u0300-\u036f]", ""))
 
 
 # A capitalised phrase before a police word; one after a preposition of place.
