@@ -1,0 +1,7 @@
+"""Registered queries: name → (query, SQL form or None)."""
+
+
+def registered() -> dict:
+    from reportmill.catalog import reads
+
+    return {**reads.QUERIES}
