@@ -2,6 +2,6 @@
 
 
 def registered() -> dict:
-    from reportmill.catalog import reads
+    from reportmill.catalog import reads, texts
 
-    return {**reads.QUERIES}
+    return {**reads.QUERIES, **texts.QUERIES}

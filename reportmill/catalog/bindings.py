@@ -70,6 +70,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return apply_settings(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Gives every core a share of a table that is stored in fewer pieces than there are cores."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _int_div(value: Column, by: int) -> Column:
     return F.floor(value / by).cast("long")
 
@@ -151,7 +157,7 @@ LEADS = (
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with a lead sentence before the whole text: doc_id, lang, source, text, day, lead, published_at."""
-    d = table(spark, folder, "documents")
+    d = spread(table(spark, folder, "documents"))
     day = (F.col("doc_id") % 27 + 1).cast("int")
     lead = F.replace(
         F.replace(pick(LEADS, F.col("doc_id")), F.lit("{d}"), day.cast("string")), F.lit("{e}"), (day + 1).cast("string")
@@ -200,7 +206,7 @@ GAZETTEER_SQL = f"""gazetteer AS (
 
 def place_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Location inputs: documents that mention gazetteer-like names in different fields."""
-    d, parts = table(spark, folder, "documents"), table(spark, folder, "part")
+    d, parts = spread(table(spark, folder, "documents")), table(spark, folder, "part")
     n = F.col("doc_id")
     total = parts.agg(F.count("*")).scalar()
     names = parts.select(F.col("p_partkey").alias("_k"), _place_name(F.col("p_partkey")).alias("_name"))

@@ -216,10 +216,10 @@ def group_sql(text: str) -> str:
     WHEN {_BASE_GROUP} IN ('scam', 'harassment') AND regexp_matches({text}, '(?i)\\b({TRANSPORT_WORDS})\\b') THEN 'transport' ELSE {_BASE_GROUP} END"""
 
 
-_GROUP_SQL = group_sql("(title || ' ' || coalesce(description, ''))")
+GROUP_SQL = group_sql("(title || ' ' || coalesce(description, ''))")
 _SCORE = "(CASE WHEN source_type LIKE 'police_%' THEN 10 ELSE 0 END + CASE geo_precision WHEN 'address' THEN 3 WHEN 'police_station' THEN 2 WHEN 'locality' THEN 1 ELSE 0 END)"
 _DERIVED_SQL = f"""{B.REPORTS_SQL},
-  grouped AS (SELECT *, {_GROUP_SQL} AS "group" FROM reports),
+  grouped AS (SELECT *, {GROUP_SQL} AS "group" FROM reports),
   mapped AS (SELECT * FROM grouped WHERE "group" IS NOT NULL AND geo_precision <> 'city'
     QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY {_SCORE} DESC, effective_at DESC, id) = 1),
   city_level AS (SELECT * FROM grouped WHERE "group" IS NOT NULL AND geo_precision = 'city' AND event_id NOT IN (SELECT event_id FROM mapped)
@@ -406,7 +406,7 @@ QUERIES = {
     "source_catalogue": (source_catalogue, f"{R} SELECT city, source_name, source_type, count(*) AS count FROM reports GROUP BY ALL"),
     "covered_dates": (covered_dates, f"{R} SELECT strftime(min(effective_at), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS min, strftime(max(effective_at), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS max FROM reports"),
     "source_spans": (source_spans, f"{R} SELECT source_name, {B.iso_sql('min(published_datetime)')} AS first, {B.iso_sql('max(published_datetime)')} AS last, count(*) AS count FROM reports GROUP BY 1"),
-    "window_by_group": (window_by_group, f"""{R} SELECT city, {_GROUP_SQL} AS "group", count(*) AS n FROM reports WHERE published_datetime >= TIMESTAMP '2024-01-31' - INTERVAL 184 DAY GROUP BY ALL"""),
+    "window_by_group": (window_by_group, f"""{R} SELECT city, {GROUP_SQL} AS "group", count(*) AS n FROM reports WHERE published_datetime >= TIMESTAMP '2024-01-31' - INTERVAL 184 DAY GROUP BY ALL"""),
     "beware_derive": (beware_derive, f"""WITH {_DERIVED_SQL} SELECT id, "group", on_map FROM derived"""),
     "group_counts": (group_counts, f"""WITH {_DERIVED_SQL}, names(position, g) AS (VALUES (0, 'all'), {', '.join(f"({i + 1}, '{g.id}')" for i, g in enumerate(GROUPS))})
       SELECT position, g AS "group", (SELECT count(*) FROM mapped m WHERE g = 'all' OR m."group" = g) AS count FROM names"""),

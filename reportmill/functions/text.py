@@ -18,12 +18,8 @@ def classify(text: Column, taxonomy: Taxonomy = TAXONOMY) -> Column:
 
 def classify_raw(text: Column, taxonomy: Taxonomy = TAXONOMY) -> Column:
     """The phrase that decided the category, lower-cased; null when no rule matched."""
-    found = []
-    for c in taxonomy.categories:
-        if c.words:
-            pattern = whole_words(c.words)
-            found.append(F.when(text.rlike(pattern), F.lower(F.regexp_extract(text, pattern, 0))))
-    return F.coalesce(*found)
+    rules = [F.nullif(F.regexp_extract(text, whole_words(c.words), 0), F.lit("")) for c in taxonomy.categories if c.words]
+    return F.lower(F.coalesce(*rules))
 
 
 def base_group(category: Column, taxonomy: Taxonomy = TAXONOMY) -> Column:
