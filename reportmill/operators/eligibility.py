@@ -11,6 +11,7 @@ from reportmill.functions.text import likely_incident
 from reportmill.functions.times import instant
 from reportmill.functions.urls import canonical_url
 from reportmill.operators.hotkeys import first_by
+from reportmill.operators.stages import compute_once
 
 
 def screened(found: DataFrame, cutoff: datetime, until: datetime | None = None) -> DataFrame:
@@ -18,14 +19,14 @@ def screened(found: DataFrame, cutoff: datetime, until: datetime | None = None)
     outside = F.col("published_at") < instant(cutoff)
     if until is not None:
         outside = outside | (F.col("published_at") > instant(until))
-    with_link = found.withColumn("link", canonical_url(F.col("url")))
-    return with_link.withColumn(
-        "reason",
+    with_link = compute_once(found, {"link": canonical_url(F.col("url"))})
+    reason = (
         F.when(F.col("published_at").isNull(), F.lit("undated"))
         .when(outside, F.lit("out_of_window"))
         .when(F.col("link").isNull(), F.lit("prefiltered"))
-        .when(~likely_incident(F.col("title"), F.col("link")), F.lit("prefiltered")),
+        .when(~likely_incident(F.col("title"), F.col("link")), F.lit("prefiltered"))
     )
+    return compute_once(with_link, {"reason": reason})
 
 
 def not_stored(rows: DataFrame, existing: DataFrame, link: str = "link") -> DataFrame:

@@ -9,12 +9,13 @@ from reportmill.config import CATEGORIES, GROUPS, Taxonomy, TAXONOMY
 from reportmill.functions.text import group_of, label_of
 from reportmill.functions.times import to_ist
 from reportmill.operators.hotkeys import descending, first_by
+from reportmill.operators.stages import compute_once
 from reportmill.plans.heatmap import mappable
 
 
 def with_group(reports: DataFrame, taxonomy: Taxonomy = TAXONOMY) -> DataFrame:
     """Adds the derived display group (null for none)."""
-    return reports.withColumn("group", group_of(F.col("category"), F.col("title"), F.col("description"), taxonomy))
+    return compute_once(reports, {"group": group_of(F.col("category"), F.col("title"), F.col("description"), taxonomy)})
 
 
 def _one_per_event(rows: DataFrame) -> DataFrame:

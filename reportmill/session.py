@@ -12,6 +12,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The JVM never compiles methods beyond 8000 bytecodes; text rules in one fused method would be interpreted.
+    # Above this size Spark uses split projections instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -26,8 +29,9 @@ def build_session(app: str = "reportmill", master: str | None = None, **conf: st
 
 
 def apply_settings(spark: SparkSession) -> SparkSession:
-    """Pins the zone of a session somebody else built: all wall-clock logic expects UTC."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Pins what the library relies on in a session somebody else built: UTC wall clocks, compilable methods."""
+    for key in ("spark.sql.session.timeZone", "spark.sql.codegen.hugeMethodLimit"):
+        spark.conf.set(key, SETTINGS[key])
     return spark
 
 
