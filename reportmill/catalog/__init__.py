@@ -2,6 +2,6 @@
 
 
 def registered() -> dict:
-    from reportmill.catalog import ingest, reads, texts
+    from reportmill.catalog import ingest, landed, reads, texts
 
-    return {**reads.QUERIES, **texts.QUERIES, **ingest.QUERIES}
+    return {**reads.QUERIES, **texts.QUERIES, **ingest.QUERIES, **landed.QUERIES}

@@ -27,7 +27,6 @@ from reportmill.plans.merge_police import merge_police
 from reportmill.plans.reprocess import rederive, reprocess
 from reportmill.schemas import REPORT
 from reportmill.sources.gazetteer import build_gazetteer
-from reportmill.sources.pages import parse_pages
 from reportmill.sources.tables import parse_police_lines
 
 CUTOFF = window_start(B.NOW)
@@ -228,7 +227,7 @@ _POLICE_SQL = f"""lines AS (SELECT {_N} AS n, *, {B.pick_sql([*CITY_IDS, 'mumbai
     coalesce(CASE n % 5 WHEN 1 THEN TIMESTAMP '2023-11-01' + to_days(CAST(n % 28 AS INTEGER)) - INTERVAL 330 MINUTE WHEN 2 THEN TIMESTAMP '2024-01-02 03:04:05' END,
       CASE WHEN has_mention THEN m_pub END,
       CASE WHEN n % 7 <> 0 THEN CASE WHEN n % 29 = 0 THEN TIMESTAMP '2022-01-01' ELSE TIMESTAMP '2024-01-05' END - INTERVAL 330 MINUTE END) AS pub,
-    CASE WHEN n % 3 = 1 THEN make_timestamp(2023, month(o_orderdate), day(o_orderdate), 0, 0, 0) - INTERVAL 330 MINUTE END AS inc,
+    CASE WHEN n % 3 = 1 THEN CAST(make_date(2023, month(o_orderdate), 1) AS TIMESTAMP) + to_days(CAST(day(o_orderdate) - 1 AS INTEGER)) - INTERVAL 330 MINUTE END AS inc,
     coalesce(cat0, '') || ' ' || coalesce(raw0, '') || ' ' || coalesce(title0, '') AS about,
     CASE WHEN n % 3 <> 0 THEN CASE WHEN n % 31 = 0 THEN 1.5e0 ELSE {B.pick_sql([c.lat for c in CITIES] + [19.0], 'n')} + (n % 50) * 1e-3 END END AS lat0,
     CASE WHEN n % 3 <> 0 AND n % 37 <> 0 THEN {B.pick_sql([c.lng for c in CITIES] + [72.0], 'n')} + (n % 50) * 1e-3 END AS lng0 FROM lines),
@@ -327,16 +326,16 @@ def resolved_places(spark, folder):
 
 
 def _resolved_sql() -> str:
-    from reportmill.catalog.texts import _place_phrase_sql
+    from reportmill.catalog.texts import place_phrase_ctes
 
-    phrase = _place_phrase_sql().replace(f"WITH {B.DOCUMENTS_SQL},", "").replace("FROM docs", "FROM place_texts").replace("SELECT d.doc_id, f.phrase FROM place_texts d LEFT JOIN first f USING (doc_id)", "")
+    phrase = place_phrase_ctes("place_texts")
     inside = " OR ".join(f"(city = '{c.id}' AND lat BETWEEN {_d(c.min_lat)} AND {_d(c.max_lat)} AND lng BETWEEN {_d(c.min_lng)} AND {_d(c.max_lng)})" for c in CITIES)
     hav = "(pow(sin(radians(l_lat - s_lat) / 2), 2) + cos(radians(s_lat)) * cos(radians(l_lat)) * pow(sin(radians(l_lng - s_lng) / 2), 2))"
     center = lambda a: "CASE city " + " ".join(f"WHEN '{c.id}' THEN {_d(getattr(c, a))}" for c in CITIES) + " END"
-    return f"""WITH {_MATCH_SQL}, {B.GEOCODES_SQL}, {phrase.strip().rstrip(',')},
+    return f"""WITH {_MATCH_SQL}, {B.GEOCODES_SQL}, {phrase},
   x AS (SELECT p.doc_id, p.city, p.location_text, p.lat AS g_lat, p.lng AS g_lng, p.lat IS NOT NULL AS given, a.name AS an, a.kind AS ak, a.lat AS alat, a.lng AS alng,
       b.name AS bn, b.kind AS bk, b.lat AS blat, b.lng AS blng, f.phrase, p.city || '|' || lower(p.location_text) AS k1, p.city || '|' || lower(f.phrase) AS k2
-    FROM place_texts p LEFT JOIN best a ON a.doc_id = p.doc_id AND a.look = 0 LEFT JOIN best b ON b.doc_id = p.doc_id AND b.look = 1 LEFT JOIN first f ON f.doc_id = p.doc_id),
+    FROM place_texts p LEFT JOIN best a ON a.doc_id = p.doc_id AND a.look = 0 LEFT JOIN best b ON b.doc_id = p.doc_id AND b.look = 1 LEFT JOIN pp_first f ON f.doc_id = p.doc_id),
   y AS (SELECT x.*, NOT given AND an IS NULL AND location_text IS NOT NULL AS ask1, g1.key IS NOT NULL AS known1, g1.lat AS g1lat, g1.lng AS g1lng, g2.key IS NOT NULL AS known2, g2.lat AS g2lat, g2.lng AS g2lng
     FROM x LEFT JOIN geocodes g1 ON g1.key = k1 LEFT JOIN geocodes g2 ON g2.key = k2),
   z AS (SELECT *, CASE WHEN ak = 'police_station' THEN an WHEN bk = 'police_station' THEN bn END AS s_name, CASE WHEN ak = 'police_station' THEN alat WHEN bk = 'police_station' THEN blat END AS s_lat,
@@ -440,7 +439,7 @@ def reprocessed_events(spark, folder):
 def _collected(spark, folder):
     gazetteer, geocodes = _gaz(spark, folder)
     found = B.candidates(spark, folder)
-    pages = parse_pages(B.html_pages(spark, folder))
+    pages = B.html_pages(spark, folder)
     existing = B.reports(spark, folder)
     return collect(found, pages, existing, gazetteer, geocodes, B.NOW, 15)
 

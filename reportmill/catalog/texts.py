@@ -189,17 +189,16 @@ def place_phrases(spark, folder):
     return d.select("doc_id", names.place_phrase(F.col("text")).alias("phrase"))
 
 
-def _place_phrase_sql() -> str:
-    """Word by word over the candidate phrases of the first 1,500 characters."""
+def place_phrase_ctes(source: str) -> str:
+    """CTEs that end in ``pp_first`` (doc_id, phrase): word by word over the phrases of the first 1,500 characters."""
     vague = "regexp_replace(lower(w), '[^a-z0-9_]', '', 'g') IN (" + ", ".join(B.quote(w) for w in NOT_PLACES) + ")"
-    return f"""WITH {B.DOCUMENTS_SQL},
-      phrases AS (SELECT doc_id, unnest(regexp_extract_all(substr(text, 1, 1500), '\\b(?:in|at|near|from|of)\\s+([A-Z][a-zA-Z''.-]+(?:\\s+[A-Z][a-zA-Z''.-]+){{0,3}})', 1)) AS phrase,
-        generate_subscripts(regexp_extract_all(substr(text, 1, 1500), '\\b(?:in|at|near|from|of)\\s+([A-Z][a-zA-Z''.-]+(?:\\s+[A-Z][a-zA-Z''.-]+){{0,3}})', 1), 1) AS pos FROM docs),
-      words AS (SELECT doc_id, pos, regexp_split_to_array(phrase, '\\s+') AS ws FROM phrases),
-      kept AS (SELECT doc_id, pos, ws, list_transform(ws, lambda w: NOT ({vague})) AS good FROM words),
-      cut AS (SELECT doc_id, pos, regexp_replace(array_to_string(ws[1:len(good) + 1 - list_position(list_reverse(good), true)], ' '), '[.,]+$', '') AS phrase FROM kept WHERE good[1]),
-      first AS (SELECT doc_id, first(phrase ORDER BY pos) AS phrase FROM cut WHERE length(phrase) >= 4 GROUP BY 1)
-      SELECT d.doc_id, f.phrase FROM docs d LEFT JOIN first f USING (doc_id)"""
+    pattern = r"\b(?:in|at|near|from|of)\s+([A-Z][a-zA-Z''.-]+(?:\s+[A-Z][a-zA-Z''.-]+){0,3})"
+    found = f"regexp_extract_all(substr(text, 1, 1500), '{pattern}', 1)"
+    return f"""pp_phrases AS (SELECT doc_id, unnest({found}) AS phrase, generate_subscripts({found}, 1) AS pos FROM {source}),
+      pp_words AS (SELECT doc_id, pos, regexp_split_to_array(phrase, '\\s+') AS ws FROM pp_phrases),
+      pp_kept AS (SELECT doc_id, pos, ws, list_transform(ws, lambda w: NOT ({vague})) AS good FROM pp_words),
+      pp_cut AS (SELECT doc_id, pos, regexp_replace(array_to_string(ws[1:len(good) + 1 - list_position(list_reverse(good), true)], ' '), '[.,]+$', '') AS phrase FROM pp_kept WHERE good[1]),
+      pp_first AS (SELECT doc_id, first(phrase ORDER BY pos) AS phrase FROM pp_cut WHERE length(phrase) >= 4 GROUP BY 1)"""
 
 
 def page_keywords(spark, folder):
@@ -240,7 +239,7 @@ QUERIES = {
     "numbers": (numbers, "SELECT event_id, CASE event_id % 6 WHEN 3 THEN value WHEN 5 THEN CAST('-' || user_id || 'e-1' AS DOUBLE) END AS number FROM events"),
     "title_tokens": (title_tokens, f"{D}, t AS (SELECT doc_id, {tokens_sql('text')} AS t FROM docs) SELECT doc_id, CAST(len(t) AS INTEGER) AS n, md5(array_to_string(t, ' ')) AS words FROM t"),
     "normal_names": (normal_names, f"{D}, c AS (SELECT doc_id, {normal_sql('text')} AS name FROM docs) SELECT doc_id, CAST(length(name) AS INTEGER) AS n, md5(name) AS name FROM c"),
-    "place_phrases": (place_phrases, _place_phrase_sql()),
+    "place_phrases": (place_phrases, f"{D}, {place_phrase_ctes('docs')} SELECT d.doc_id, f.phrase FROM docs d LEFT JOIN pp_first f USING (doc_id)"),
     "page_keywords": (page_keywords, """SELECT page_id, array_to_string(list_filter(list_transform(string_split(' crime ,' || regexp_replace(url, '[/:]+', ' , ', 'g'), ','), lambda w: trim(w)), lambda w: w <> ''), '|') AS keywords FROM pages"""),
     "document_similarity": (document_similarity, f"""WITH t AS (SELECT doc_id, {tokens_sql('text')} AS a FROM documents), p AS (SELECT t.doc_id, t.a, o.a AS b, len(list_intersect(t.a, o.a)) AS n FROM t JOIN t o ON o.doc_id = t.doc_id + 1)
       SELECT doc_id, CAST(round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE n / (len(a) + len(b) - n) END, 6) AS DOUBLE) AS similarity FROM p"""),

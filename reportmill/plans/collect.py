@@ -15,6 +15,7 @@ from reportmill.operators.enrich import enrich_articles, still_wanted
 from reportmill.operators.sampling import sample_with_refill
 from reportmill.operators.upsert import merge_reports
 from reportmill.schemas import REPORT
+from reportmill.sources.pages import parse_pages
 
 
 @dataclass(frozen=True)
@@ -26,23 +27,26 @@ class Collected:
     stats: DataFrame
 
 
-def choose_article(picks: DataFrame, pages: DataFrame) -> DataFrame:
-    """Attaches each pick's article: the one discovery brought, else the parsed page of its address."""
-    fetched = pages.select(
-        canonical_url(F.col("url")).alias("url"),
-        F.struct("url", "title", "published_at", "description", "text", "keywords", "city", "source_name").alias("_page"),
-    ).filter(F.col("url").isNotNull())
-    one_page = fetched.groupBy("url").agg(F.max("_page").alias("_page"))
+def choose_article(picks: DataFrame, landed: DataFrame) -> DataFrame:
+    """Attaches each pick's article: the one discovery brought, else the parsed page of its address.
+
+    Only the pages of picks without an article are parsed.
+    """
+    needed = picks.filter(F.col("article").isNull()).select("url").distinct()
+    pages = landed.withColumn("url", canonical_url(F.col("url"))).join(needed, "url", "left_semi")
+    parsed = parse_pages(pages)
+    article = F.struct("url", "title", "published_at", "description", "text", "keywords", "city", "source_name")
+    one_page = parsed.groupBy("url").agg(F.max(article).alias("_page"))
     joined = picks.join(one_page, "url", "left")
     return joined.withColumn("article", F.coalesce("article", "_page")).select(*picks.columns)
 
 
-def _outcomes(picks: DataFrame, pages: DataFrame, gazetteer: DataFrame, geocodes: DataFrame, cutoff: datetime) -> DataFrame:
+def _outcomes(picks: DataFrame, landed: DataFrame, gazetteer: DataFrame, geocodes: DataFrame, cutoff: datetime) -> DataFrame:
     """(source, city, seq, outcome, report) of the picks."""
-    base = choose_article(picks, pages)
+    base = choose_article(picks, landed).checkpoint()
     articles = base.filter(F.col("article").isNotNull()).select("source", "seq", "article.*", F.col("url").alias("_url"), F.col("city").alias("_city"))
     articles = articles.withColumns({"url": F.col("_url"), "city": F.col("_city")}).drop("_url", "_city")
-    wanted = still_wanted(articles, cutoff).withColumn("_key", F.concat_ws("|", "source", "seq"))
+    wanted = still_wanted(articles, cutoff).withColumn("_key", F.concat_ws("|", "source", "seq")).checkpoint()
     rows = enrich_articles(wanted, gazetteer, geocodes, "_key")
     columns = [c.split()[0] for c in REPORT.split(",")]
     rows = rows.select("source", "seq", "in_area", F.struct(*columns).alias("report"))
@@ -68,14 +72,14 @@ def collection_stats(found: DataFrame, pool: DataFrame, tried: DataFrame) -> Dat
 
 
 def collect(
-    found: DataFrame, pages: DataFrame, existing: DataFrame, gazetteer: DataFrame, geocodes: DataFrame, now: datetime, per_city: int = 55
+    found: DataFrame, landed: DataFrame, existing: DataFrame, gazetteer: DataFrame, geocodes: DataFrame, now: datetime, per_city: int = 55
 ) -> Collected:
-    """The whole ingest over landed data. ``found`` are candidates of all sources, ``pages`` parsed articles."""
+    """The whole ingest over landed data. ``found`` are candidates of all sources, ``landed`` the fetched pages (see sources.pages)."""
     cutoff = window_start(now)
     pool = eligible(found, existing, cutoff, now).checkpoint()
     tried = sample_with_refill(
         pool, ["source", "city"], per_city, "published_at", "seq",
-        lambda picks: _outcomes(picks, pages, gazetteer, geocodes, cutoff),
+        lambda picks: _outcomes(picks, landed, gazetteer, geocodes, cutoff),
     )
     fresh = tried.filter(F.col("outcome") == "stored").select("seq", "report.*")
     return Collected(merge_reports(existing, fresh), tried, collection_stats(found, pool, tried))

@@ -124,12 +124,16 @@ def sitemap_links(landed: DataFrame, source: Source, since: datetime, until: dat
     return _candidates(kept, url, slug_title(url), parse_feed_date(F.col("item.lastmod")), city).filter(_within(since, until))
 
 
+def month_names(since: Column, until: Column) -> Column:
+    """Array of struct(year, month): every month from that of ``since`` that begins by ``until``."""
+    months = F.sequence(F.trunc(since, "MM"), F.to_date(until), F.expr("interval 1 month"))
+    name = lambda m: F.element_at(F.array(*map(F.lit, LONG_MONTHS)), F.month(m))
+    return F.transform(months, lambda m: F.struct(F.year(m).alias("year"), name(m).alias("month")))
+
+
 def month_list(spark: SparkSession, since: datetime, until: datetime) -> DataFrame:
-    """(year, month name) of every month that begins by ``until``, from the month of ``since``."""
-    months = spark.range(1).select(
-        F.explode(F.sequence(F.trunc(instant(since), "MM"), F.to_date(instant(until)), F.expr("interval 1 month"))).alias("m")
-    )
-    return months.select(F.year("m").alias("year"), F.element_at(F.array(*map(F.lit, LONG_MONTHS)), F.month("m")).alias("month"))
+    """(year, month name) of the monthly sitemaps to read."""
+    return spark.range(1).select(F.inline(month_names(instant(since), instant(until))))
 
 
 def section_items(landed: DataFrame, source: Source) -> DataFrame:
