@@ -40,17 +40,20 @@ def _small_star(edges: DataFrame, rows: int, hot_rows: int) -> DataFrame:
     return _oriented(pairs.select("p.a", "p.m"), "a", "m")
 
 
-def connected_components(edges: DataFrame, a: str = "u", b: str = "v", hot_rows: int = HOT_ROWS) -> DataFrame:
+def connected_components(
+    edges: DataFrame, a: str = "u", b: str = "v", hot_rows: int = HOT_ROWS, rounds: int | None = None
+) -> DataFrame:
     """(node, component) for every node of an undirected edge list; the component is its smallest node.
 
     Each round is checkpointed to the shared folder, so lineage stays short and a lost executor
-    costs a re-read. Rounds grow with the logarithm of the graph, and stop when nothing moves.
+    costs a re-read. Rounds grow with the logarithm of the graph, and stop when nothing moves. With ``rounds`` the search
+    stops early: equal labels still mean connected, but one component may carry several labels.
     """
     scratch_dir(edges.sparkSession)
     current = _oriented(edges, a, b).checkpoint()
     before = _fingerprint(current)
-    for _ in range(MAX_ROUNDS):
-        if not before[0]:
+    for number in range(MAX_ROUNDS):
+        if not before[0] or number == rounds:
             break
         grown = _large_star(current, before[0], hot_rows)
         if before[0] >= hot_rows:
@@ -65,6 +68,7 @@ def connected_components(edges: DataFrame, a: str = "u", b: str = "v", hot_rows:
     else:
         raise RuntimeError("component search did not settle")
     roots = current.select(F.col("lo").alias("node")).distinct()
-    return current.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(
-        roots.withColumn("component", F.col("node"))
-    )
+    linked = current.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("component"))
+    if rounds is not None:
+        roots = roots.join(linked.select("node"), "node", "left_anti")
+    return linked.unionByName(roots.withColumn("component", F.col("node")))
