@@ -82,7 +82,7 @@ def _int_div(value: Column, by: int) -> Column:
 
 def reports(spark: SparkSession, folder: str) -> DataFrame:
     """Reports: one per row of events."""
-    e = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    e = spread(table(spark, folder, "events")).withColumn("ts", F.col("ts").cast("timestamp"))
     i, u = F.col("event_id"), F.col("user_id")
     case = _int_div(i, 12)
     incident = F.when(i % 4 != 0, F.timestamp_micros(F.unix_micros("ts") - (F.floor("value") % 72) * 3_600_000_000))

@@ -80,6 +80,7 @@ def test_empty_results(spark):
 def test_filters_reach_the_scan(spark, tmp_path):
     write_reports(table(spark, report("a"), report("b", city="goa")), str(tmp_path))
     f = ReportFilter("delhi", DAY.date(), DAY.date())
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
     plan = heatmap.heatmap(read_reports(spark, str(tmp_path), NOW), f)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(effective_at" in plan and "PartitionFilters: [isnotnull(city" in plan
     assert "description" not in plan.split("ReadSchema")[1].split("\n")[0]
