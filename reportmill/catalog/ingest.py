@@ -263,8 +263,8 @@ def police_located(spark, folder):
 
 def police_merge_counts(spark, folder):
     gazetteer, geocodes = _gaz(spark, folder)
-    done = merge_police(_police(spark, folder), B.reports(spark, folder), gazetteer, geocodes, B.NOW)
-    return done.counts
+    mapped = locate_police_reports(map_police_rows(_police(spark, folder), B.NOW), gazetteer, geocodes)
+    return merge_counts(B.reports(spark, folder), mapped.filter("reason IS NULL"))
 
 
 def police_merge(spark, folder):
