@@ -13,7 +13,7 @@ from reportmill.functions import hexgrid
 from reportmill.functions.names import haversine_km
 from reportmill.functions.text import group_of, label_of
 from reportmill.operators.places import in_city
-from reportmill.plans import beware, heatmap, meta, reports
+from reportmill.plans import group_map, heatmap, meta, reports
 from reportmill.plans.ingest_rows import CATEGORY_LAYERS, ingest_counts, square_bins, validated
 from reportmill.plans.params import Page, ReportFilter, parse_area, parse_filter, parse_page
 from reportmill.sources.geojson import point_features, polygon_features
@@ -204,7 +204,7 @@ def source_spans(spark, folder):
 
 
 def window_by_group(spark, folder):
-    recent = beware.with_group(in_window(B.reports(spark, folder), B.NOW))
+    recent = group_map.with_group(in_window(B.reports(spark, folder), B.NOW))
     return recent.groupBy("city", "group").agg(F.count("*").alias("n"))
 
 
@@ -227,12 +227,12 @@ _DERIVED_SQL = f"""{B.REPORTS_SQL},
   derived AS (SELECT *, true AS on_map FROM mapped UNION ALL SELECT *, false FROM city_level)"""
 
 
-def beware_derive(spark, folder):
-    return beware.derive(B.reports(spark, folder)).select("id", "group", "on_map")
+def group_map_events(spark, folder):
+    return group_map.derive(B.reports(spark, folder)).select("id", "group", "on_map")
 
 
 def group_counts(spark, folder):
-    return beware.group_counts(beware.derive(B.reports(spark, folder)))
+    return group_map.group_counts(group_map.derive(B.reports(spark, folder)))
 
 
 def group_counts_labelled(spark, folder):
@@ -241,7 +241,7 @@ def group_counts_labelled(spark, folder):
     remote = region.select(B.pick([g.id for g in GROUPS], F.col("r_regionkey") * 2).alias("id"), F.col("r_name").alias("label"), F.lit("#000000").alias("color"))
     remote = remote.groupBy("id").agg(F.min("label").alias("label"), F.min("color").alias("color"))
     groups = meta.merge_group_labels(meta.group_table(spark), remote)
-    counts = beware.group_counts(beware.derive(B.reports(spark, folder)))
+    counts = group_map.group_counts(group_map.derive(B.reports(spark, folder)))
     return groups.join(counts.select(F.col("group").alias("id"), "count"), "id").select("id", "label", "color", "disabled", "count")
 
 
@@ -249,24 +249,24 @@ _LOCAL_GROUPS = ", ".join(f"('{g.id}', '{g.label}', '{g.color}', {str(g.disabled
 
 
 def city_level_count(spark, folder):
-    return beware.city_level_count(beware.derive(B.reports(spark, folder)), "harassment")
+    return group_map.city_level_count(group_map.derive(B.reports(spark, folder)), "harassment")
 
 
 def latest_reports(spark, folder):
-    return beware.latest(beware.derive(B.reports(spark, folder))).select("id", B.iso("effective_at").alias("shown"))
+    return group_map.latest(group_map.derive(B.reports(spark, folder))).select("id", B.iso("effective_at").alias("shown"))
 
 
 def visible_reports(spark, folder):
-    return beware.visible(beware.derive(B.reports(spark, folder)), "scam").select("id", "group", "on_map")
+    return group_map.visible(group_map.derive(B.reports(spark, folder)), "scam").select("id", "group", "on_map")
 
 
 def selected_reports(spark, folder):
     ids = B.table(spark, folder, "customer").select(F.concat(F.lit("r"), (F.col("c_custkey") * 3).cast("string")).alias("id"))
-    return reports.selected(beware.derive(B.reports(spark, folder)), ids, "scam").select("id", "category")
+    return reports.selected(group_map.derive(B.reports(spark, folder)), ids, "scam").select("id", "category")
 
 
 def report_cards(spark, folder):
-    return beware.display(B.reports(spark, folder))
+    return group_map.display(B.reports(spark, folder))
 
 
 def _day_sql(column: str) -> str:
@@ -314,7 +314,7 @@ def cell_summary(spark, folder):
 
 
 def geojson_points(spark, folder):
-    return point_features(beware.derive(B.reports(spark, folder)).filter("on_map"))
+    return point_features(group_map.derive(B.reports(spark, folder)).filter("on_map"))
 
 
 _COLORS = 'CASE "group" ' + " ".join(f"WHEN '{g.id}' THEN '{g.color}'" for g in GROUPS) + " ELSE '#9aa0a6' END"
@@ -407,7 +407,7 @@ QUERIES = {
     "covered_dates": (covered_dates, f"{R} SELECT strftime(min(effective_at), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS min, strftime(max(effective_at), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS max FROM reports"),
     "source_spans": (source_spans, f"{R} SELECT source_name, {B.iso_sql('min(published_datetime)')} AS first, {B.iso_sql('max(published_datetime)')} AS last, count(*) AS count FROM reports GROUP BY 1"),
     "window_by_group": (window_by_group, f"""{R} SELECT city, {GROUP_SQL} AS "group", count(*) AS n FROM reports WHERE published_datetime >= TIMESTAMP '2024-01-31' - INTERVAL 184 DAY GROUP BY ALL"""),
-    "beware_derive": (beware_derive, f"""WITH {_DERIVED_SQL} SELECT id, "group", on_map FROM derived"""),
+    "group_map_events": (group_map_events, f"""WITH {_DERIVED_SQL} SELECT id, "group", on_map FROM derived"""),
     "group_counts": (group_counts, f"""WITH {_DERIVED_SQL}, names(position, g) AS (VALUES (0, 'all'), {', '.join(f"({i + 1}, '{g.id}')" for i, g in enumerate(GROUPS))})
       SELECT position, g AS "group", (SELECT count(*) FROM mapped m WHERE g = 'all' OR m."group" = g) AS count FROM names"""),
     "group_counts_labelled": (group_counts_labelled, f"""WITH {_DERIVED_SQL}, local(id, label, color, disabled) AS (VALUES {_LOCAL_GROUPS}),

@@ -4,7 +4,7 @@ from datetime import datetime, timezone
 from pyspark.sql import functions as F
 
 from reportmill.operators.upsert import merge_counts, merge_reports
-from reportmill.plans import beware, heatmap, meta, reports
+from reportmill.plans import group_map, heatmap, meta, reports
 from reportmill.plans.params import Page, ReportFilter
 from reportmill.plans.reprocess import rederive
 from reportmill.schemas import GAZETTEER, GEOCODE, REPORT
@@ -64,9 +64,9 @@ def test_two_ways_to_pick_a_representative(spark):
     f = ReportFilter("delhi", DAY.date(), datetime(2026, 9, 25).date())
     cells = heatmap.heatmap(rows, f)
     assert [(r["count"], r.categories) for r in cells.collect()] == [(2, {"burglary_theft": 1, "fraud": 1})]
-    derived = beware.derive(rows.withColumn("category", F.lit("fraud")))
+    derived = group_map.derive(rows.withColumn("category", F.lit("fraud")))
     assert {(r.id, r.on_map) for r in derived.collect()} == {("d", True), ("f", True), ("e", False)}
-    assert {r.group: r["count"] for r in beware.group_counts(derived).collect()}["scam"] == 2
+    assert {r.group: r["count"] for r in group_map.group_counts(derived).collect()}["scam"] == 2
 
 
 def test_empty_results(spark):
