@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from reportmill.llm import html_text, line_dedup, pieces, url_rules
+from reportmill.llm import html_text, line_dedup, pieces, quality, url_rules
 
-QUERIES = {**pieces.QUERIES, **html_text.QUERIES, **url_rules.QUERIES, **line_dedup.QUERIES}
+QUERIES = {**pieces.QUERIES, **html_text.QUERIES, **url_rules.QUERIES, **quality.QUERIES, **line_dedup.QUERIES}
