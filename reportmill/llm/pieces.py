@@ -14,10 +14,12 @@ The model is read once on the driver and travels to the tasks as its bounded lis
 from __future__ import annotations
 
 import codecs
+import hashlib
 import heapq
 import re
 import struct
-from dataclasses import dataclass, field
+from array import array
+from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
@@ -30,7 +32,7 @@ from reportmill.llm.batches import packed, unpacked
 
 MARK = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
-_CACHED_CUTS, _CACHED_CHARS = 300_000, 200
+_CACHED_CUTS, _SHORT, _GROUP_CHARS = 400_000, 48, 1 << 21
 
 
 def _each_byte(error: UnicodeDecodeError) -> tuple[str, int]:
@@ -81,7 +83,6 @@ class Model:
     charmap: bytes = b""
     dummy_prefix: bool = True
     squeeze: bool = False
-    _cuts: dict = field(default_factory=dict, repr=False)
 
     @classmethod
     def read(cls, path: str) -> Model:
@@ -102,12 +103,51 @@ class Model:
         )
 
     def __getstate__(self):
-        return {**{k: v for k, v in self.__dict__.items() if k in self.__dataclass_fields__}, "_cuts": {}}
+        return {k: v for k, v in self.__dict__.items() if k in self.__dataclass_fields__}
+
+    @cached_property
+    def held(self) -> dict[str, bytes]:
+        """Cuts merged so far with their ids, packed; emptied when it is full."""
+        return {}
+
+    @cached_property
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        """(keys of neighbours that merge, place of what they make, id by place, id by character), for merging many cuts at once.
+
+        Runs of marks share a score in many models and are left out; cuts that have one merge alone. None if other pieces share a
+        score or a piece has a character that is no piece: such models merge cut by cut.
+        """
+        ids, places = self.ids, {p: n for p, n in self.order.items() if p == MARK or set(p) != {MARK}}
+        longer = [n for p, n in places.items() if len(p) > 1]
+        if len(set(longer)) < len(longer) or any(c not in ids for p in ids for c in p):
+            return None
+        made = {ids[p[:i]] * len(self.pieces) + ids[p[i:]]: places[p] for p in places for i in range(1, len(p)) if p[:i] in ids and p[i:] in ids}
+        keys = np.array(sorted(made), np.int64)
+        by_place = np.zeros(len(ids), np.int32)
+        by_place[longer] = [ids[p] for p in places if len(p) > 1]
+        by_char = np.full(0x110000, -1, np.int32)
+        for p, i in ids.items():
+            if len(p) == 1:
+                by_char[ord(p)] = i
+        by_char[ord(" ")] = by_char[ord(MARK)]
+        return keys, np.array([made[k] for k in keys.tolist()], np.int32), by_place, by_char
+
+    @cached_property
+    def widths(self) -> np.ndarray:
+        """Source bytes of each piece where nothing is mapped: a mark stands for one blank."""
+        return np.array([1 if k == _BYTE else len(p.replace(MARK, " ").encode()) for p, k in zip(self.pieces, self.kinds, strict=True)], np.uint32)
 
     @cached_property
     def ids(self) -> dict[str, int]:
         return {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k in (_NORMAL, _UNUSED)}
 
+    @cached_property
+    def order(self) -> dict[str, int]:
+        """A piece's place among all scores, best first; equal scores share a place."""
+        best = sorted({self.scores[i] for i in self.ids.values()}, reverse=True)
+        place = {score: n for n, score in enumerate(best)}
+        return {p: place[self.scores[i]] for p, i in self.ids.items()}
+
     @cached_property
     def byte_ids(self) -> list[int]:
         named = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == _BYTE}
@@ -190,44 +230,102 @@ class Model:
             offer(left)
         return [s for s in size if s]
 
-    def _pieces(self, chars: list[str], widths: list[int]) -> tuple[bytes, bytes]:
-        """(ids, source bytes of each) packed; ``widths`` are the source bytes of each character."""
-        ids, sizes, at = [], [], 0
-        for count in self.merge(chars):
-            known = self.ids.get("".join(chars[at : at + count]))
-            if known is not None:
-                ids.append(known)
-                sizes.append(sum(widths[at : at + count]))
-            else:
-                raw = chars[at].encode()
-                ids.extend(self.byte_ids[b] for b in raw)
-                sizes.extend([1] * len(raw))
-            at += count
-        return np.array(ids, "<u4").tobytes(), np.array(sizes, "<u4").tobytes()
+    def merged(self, text: str) -> list[str]:
+        """The pieces of a normalised text; a character without a piece stays alone."""
+        if len(text) > _SHORT:
+            out, at = [], 0
+            for count in self.merge(list(text)):
+                out.append(text[at : at + count])
+                at += count
+            return out
+        parts, order, none = list(text), self.order, len(self.pieces)
+        ranks = [order.get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks and (best := min(ranks)) < none:
+            i = ranks.index(best)
+            parts[i] += parts.pop(i + 1)
+            ranks.pop(i)
+            if i:
+                ranks[i - 1] = order.get(parts[i - 1] + parts[i], none)
+            if i < len(ranks):
+                ranks[i] = order.get(parts[i] + parts[i + 1], none)
+        return parts
+
+    def _slow_ids(self, cut: str) -> bytes:
+        ids: list[int] = []
+        for piece in self.merged(cut.replace(" ", MARK)):
+            known = self.ids.get(piece)
+            ids.extend([known] if known is not None else [self.byte_ids[b] for b in piece.encode()])
+        return array("I", ids).tobytes()
+
+    def _merge_many(self, cuts: list[str], length: int) -> dict[str, bytes]:
+        """Ids of cuts of one length: in each round every cut that can merges its best neighbours."""
+        keys, places, by_place, by_char = self.pairs
+        none, out, names = len(by_place), {}, np.array(cuts, object)
+        rows = by_char[np.frombuffer("".join(cuts).encode("utf-32-le"), np.uint32)].reshape(len(cuts), length)
+        odd = (rows < 0).any(1)
+        out.update((c, self._slow_ids(c)) for c in names[odd])
+        rows, names = rows[~odd], names[~odd]
+
+        def place(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            key = left.astype(np.int64) * len(self.pieces) + right
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            return np.where(keys[at] == key, places[at], none).astype(np.int32)
+
+        ranks = place(rows[:, :-1], rows[:, 1:])
+        while len(rows):
+            width = rows.shape[1]
+            best = ranks.argmin(1) if width > 1 else np.zeros(len(rows), np.int64)
+            done = ranks[np.arange(len(rows)), best] == none if width > 1 else np.ones(len(rows), bool)
+            packed_ids = rows[done].astype("<u4").tobytes()
+            out.update((c, packed_ids[4 * width * i : 4 * width * (i + 1)]) for i, c in enumerate(names[done]))
+            rows, ranks, names, best = rows[~done], ranks[~done], names[~done], best[~done]
+            if not len(rows):
+                break
+            each = np.arange(len(rows))
+            rows[each, best] = by_place[ranks[each, best]]
+            left = np.ones(rows.shape, bool)
+            left[each, best + 1] = False
+            gone = np.ones(ranks.shape, bool)
+            gone[each, best] = False
+            rows, ranks = rows[left].reshape(len(rows), width - 1), ranks[gone].reshape(len(rows), width - 2)
+            for shift in (-1, 0):
+                ok = np.flatnonzero((best + shift >= 0) & (best + shift < width - 2))
+                at = best[ok] + shift
+                ranks[ok, at] = place(rows[ok, at], rows[ok, at + 1])
+        return out
 
-    def _cut(self, cut: str) -> tuple[bytes, bytes]:
-        made = self._pieces([MARK if c == " " else c for c in cut], [len(c.encode()) for c in cut])
-        if len(cut) <= _CACHED_CHARS:
-            if len(self._cuts) >= _CACHED_CUTS:
-                self._cuts.clear()
-            self._cuts[cut] = made
-        return made
+    def _learn(self, cuts: set[str]) -> None:
+        """Merges the cuts that are not held yet."""
+        if len(self.held) > _CACHED_CUTS:
+            self.held.clear()
+        by_length: dict[int, list[str]] = {}
+        for cut in cuts - self.held.keys():
+            by_length.setdefault(0 if len(cut) > _SHORT or "  " in cut or not self.pairs else len(cut), []).append(cut)
+        for length, group in by_length.items():
+            self.held.update(self._merge_many(group, length) if length else {c: self._slow_ids(c) for c in group})
+
+    def encode_many(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(ids, first byte, end byte) of each text, without begin and end ids."""
+        none = (np.zeros(0, np.uint32),) * 3
+        if self.charmap or self.squeeze or self.cutter is None:
+            return [self._encode_mapped(t) if t else none for t in texts]
+        cut = [[] if MARK in t or not t else self.cutter.findall(" " + t if self.dummy_prefix else t) for t in texts]
+        self._learn(set().union(*cut))
+        out, get = [], self.held.__getitem__
+        for text, cuts in zip(texts, cut, strict=True):
+            if not cuts:
+                out.append(self._encode_mapped(text) if text else none)
+                continue
+            ids = np.frombuffer(b"".join(map(get, cuts)), "<u4")
+            sizes = self.widths[ids]
+            if self.dummy_prefix:
+                sizes[0] -= 1  # the added mark has no source
+            ends = np.cumsum(sizes, dtype=np.uint32)
+            out.append((ids, ends - sizes, ends))
+        return out
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, first byte, end byte) without begin and end ids."""
-        if not text:
-            return (np.zeros(0, np.uint32),) * 3
-        if self.charmap or self.squeeze or self.cutter is None:
-            return self._encode_mapped(text)
-        held, made = self._cuts, []
-        for cut in self.cutter.findall(" " + text if self.dummy_prefix else text):
-            made.append(held.get(cut) or self._cut(cut))
-        ids = np.frombuffer(b"".join([m[0] for m in made]), "<u4")
-        sizes = np.frombuffer(b"".join([m[1] for m in made]), "<u4").copy()
-        if self.dummy_prefix:
-            sizes[0] -= 1  # the added mark has no source
-        ends = np.cumsum(sizes, dtype=np.uint32)
-        return ids, ends - sizes, ends
+        return self.encode_many([text])[0]
 
     def _encode_mapped(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         chars, first, last = self.normalise(text)
@@ -257,6 +355,18 @@ class Model:
         return "".join(b"".join([surfaces[i] for i in run]).decode("utf-8", "each_byte") for run in runs)[skip:]
 
 
+def _encoded(model: Model, texts: pa.Array):
+    """Encodes the texts of a column in groups of about _GROUP_CHARS characters."""
+    group, size = [], 0
+    for text in texts:
+        group.append(text.as_py() or "")
+        size += len(group[-1])
+        if size >= _GROUP_CHARS:
+            yield from model.encode_many(group)
+            group, size = [], 0
+    yield from model.encode_many(group)
+
+
 def _packed_columns(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], arrays: bool) -> list[pa.Array]:
     if arrays:
         offsets = pa.array(np.concatenate([[0], np.cumsum([len(r[0]) for r in rows])]), pa.int32())
@@ -281,9 +391,7 @@ def encode(docs: DataFrame, path: str, begin: str | None = "<s>", end: str | Non
         tail = [own.control[end]] if end else []
         for batch in batches:
             out = []
-            for text in batch.column(1):
-                text = text.as_py() or ""
-                ids, starts, ends = own.encode(text)
+            for ids, starts, ends in _encoded(own, batch.column(1)):
                 stop = [int(ends[-1]) if len(ends) else 0] * len(tail)
                 out.append(tuple(np.concatenate([a, b, c]).astype(np.uint32) for a, b, c in ((head, ids, tail), ([0] * len(head), starts, stop), ([0] * len(head), ends, stop))))
             if out:
@@ -320,13 +428,34 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def round_trip(docs: DataFrame, path: str, begin: str = "<s>", end: str = "</s>") -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, spans_sha256): what ``encode`` and ``decode`` give for each text, as digests.
+
+    Both run on a text in one task, so neither ids nor texts travel. Nulls and empty texts as in ``encode``.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(Model.read(path))
+
+    def run(batches):
+        own = model.value
+        head, tail = [own.control[begin]], [own.control[end]]
+        for batch in batches:
+            out = []
+            for ids, starts, ends in _encoded(own, batch.column(1)):
+                stop = [int(ends[-1]) if len(ends) else 0]
+                ids = np.concatenate([head, ids, tail]).astype("<u4")
+                spans = np.stack([np.concatenate([[0], starts, stop]), np.concatenate([[0], ends, stop])], 1).astype("<u4")
+                decoded = own.decode(ids.tolist()).encode()
+                out.append((len(ids), *(hashlib.sha256(x).hexdigest() for x in (ids.tobytes(), decoded, spans.tobytes()))))
+            if out:
+                n_tokens, *digests = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_tokens, pa.int64()), *(pa.array(d, pa.string()) for d in digests)], made)
+
+    made = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"]
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
+
+
 def op1_pieces(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    coded = decode(encode(docs, model_path(), arrays=False).drop("text"), model_path())
-    return coded.select(
-        "doc_id", F.floor(F.length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), F.sha2("spans", 256).alias("spans_sha256"),
-    )
+    return round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), model_path())
 
 
 QUERIES = {"op1_pieces": (op1_pieces, None)}
