@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-from reportmill.llm import html_text, line_dedup, pieces, quality, url_rules
+from reportmill.llm import html_text, line_dedup, mixing, pieces, quality, secrets, url_rules
 
-QUERIES = {**pieces.QUERIES, **html_text.QUERIES, **url_rules.QUERIES, **quality.QUERIES, **line_dedup.QUERIES}
+QUERIES = {
+    **pieces.QUERIES, **html_text.QUERIES, **url_rules.QUERIES, **secrets.QUERIES, **mixing.QUERIES, **quality.QUERIES, **line_dedup.QUERIES,
+}
