@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from reportmill.llm import html_text, line_dedup, mixing, pieces, quality, secrets, url_rules
+from reportmill.llm import html_text, line_dedup, mixing, pieces, quality, secrets, span_dedup, url_rules
 
-QUERIES = {
-    **pieces.QUERIES, **html_text.QUERIES, **url_rules.QUERIES, **secrets.QUERIES, **mixing.QUERIES, **quality.QUERIES, **line_dedup.QUERIES,
-}
+_MODULES = (pieces, span_dedup, html_text, url_rules, secrets, mixing, quality, line_dedup)
+
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
