@@ -28,7 +28,7 @@ from reportmill.llm.suffixes import Hashed, mix, sliding_min, spread, suffix_sor
 
 LENGTH = 50
 GRAM = 24
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 MOST_BUCKETS = 4096
 
 
@@ -238,7 +238,7 @@ def span_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk_by
     row, names = packed(docs, ("text", "n_bytes", "spans", "kept"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-total // chunk_bytes))
-    buckets = max(8, min(MOST_BUCKETS, 2 * chunks))
+    buckets = max(8, min(MOST_BUCKETS, chunks // 2))
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("_chunk"), order_id("doc_id").alias("_id"), row.alias("_row"), text.alias("_text"))
     dealt = rows.groupBy("_chunk")
