@@ -118,29 +118,44 @@ def _send_prefixes(shared, buckets: int, least: int):
             if not len(picked):
                 continue
             bucket = ((hashes[picked] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-            print_, node = hashes[picked].astype(np.uint32), np.repeat(names[own], width)
-            order = np.lexsort((node, bucket))
+            print_, node, size = hashes[picked].astype(np.uint32), np.repeat(names[own], width), np.repeat(sizes[own], width)
+            before = np.arange(len(picked)) - np.repeat(ends - width, width)
+            most = ((100 * size - (100 + least) * before) // least).astype(np.int64)
+            order = np.lexsort((before, node, bucket))
             held, start = np.unique(bucket[order], return_index=True)
             parts = np.split(order, start[1:])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(held, pa.int32()), pa.array([len(p) for p in parts], pa.int32()), pa.array([blob(print_[p]) for p in parts], pa.binary()), pa.array([blob(np.diff(node[p], prepend=0)) for p in parts], pa.binary())],
-                ["bucket", "n", "prints", "nodes"],
+                [pa.array(held, pa.int32()), pa.array([len(p) for p in parts], pa.int32()), pa.array([blob(print_[p]) for p in parts], pa.binary()), pa.array([blob(np.diff(node[p], prepend=0)) for p in parts], pa.binary()),
+                 pa.array([blob(np.stack([size[p], most[p]]).astype(np.int32)) for p in parts], pa.binary())],
+                ["bucket", "n", "prints", "nodes", "sizes"],
             )
 
     return run
 
 
 def _cells(table: pa.Table) -> pa.Table:
-    """(cell, node): nodes that share a print, in the cell of the least of them."""
-    n, prints, nodes = (table[c].to_pylist() for c in ("n", "prints", "nodes"))
+    """(cell, node): nodes that share a print and may be similar by size, in the cell of the least of them.
+
+    If a print is the first that two sets share, at most what follows it in each can be shared too. So a set of size k with b
+    shingles before the print reaches partners of (100 k - (100 + least) b) / least at most. Sorted by size, the nodes
+    of a print fall into groups that no member reaches out of.
+    """
+    n, prints, nodes, sizes = (table[c].to_pylist() for c in ("n", "prints", "nodes", "sizes"))
     prints = np.concatenate([unblob(p, np.uint32, k) for p, k in zip(prints, n, strict=True)])
     nodes = np.concatenate([np.cumsum(unblob(x, np.int64, k)) for x, k in zip(nodes, n, strict=True)])
-    order = np.lexsort((nodes, prints))
-    prints, nodes = prints[order], nodes[order]
-    first = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
-    size = np.diff(np.append(first, len(prints)))
-    cell = np.repeat(nodes[first], size)
-    shared = np.repeat(nodes[first] != nodes[first + size - 1], size)
+    size, most = np.concatenate([unblob(x, np.int32, 2 * k).reshape(2, k) for x, k in zip(sizes, n, strict=True)], 1).astype(np.int64)
+    order = np.lexsort((size, prints))
+    prints, nodes, size, most = prints[order], nodes[order], size[order], most[order]
+    new = np.ones(len(prints), bool)
+    new[1:] = prints[1:] != prints[:-1]
+    # The farthest reach so far within each print: a running maximum of reaches raised by the print's number.
+    lift = (np.cumsum(new) - 1) * (1 << 32)
+    new[1:] |= size[1:] + lift[1:] > np.maximum.accumulate(most + lift)[:-1]
+    first = np.flatnonzero(new)
+    least = np.minimum.reduceat(nodes, first)
+    count = np.diff(np.append(first, len(prints)))
+    cell = np.repeat(least, count)
+    shared = np.repeat(np.maximum.reduceat(nodes, first) != least, count)
     pairs = np.unique(np.stack([cell[shared], nodes[shared]], 1), axis=0)
     return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["cell", "node"])
 
@@ -245,7 +260,7 @@ def near_duplicates(docs: DataFrame, least: int = LEAST, cell_nodes: int = CELL_
     prime = nodes.filter("node = prime").groupBy("node").agg(F.max("n_shingles").alias("n_shingles"))
 
     counts = spark.sparkContext.broadcast(shingle_counts(texts))
-    prefixes = texts.mapInArrow(_send_prefixes(counts, buckets, least), "bucket int, n int, prints binary, nodes binary")
+    prefixes = texts.mapInArrow(_send_prefixes(counts, buckets, least), "bucket int, n int, prints binary, nodes binary, sizes binary")
     members = prefixes.groupBy("bucket").applyInArrow(_cells, "cell long, node long").distinct().join(prime, "node")
     cells = members.groupBy("cell").agg(F.count("*").alias("held"), F.sum("n_shingles").alias("load")).filter("held > 1")
     parts = F.greatest(F.lit(1), F.ceil(F.col("load") / cell_shingles), F.ceil(F.col("held") / cell_nodes)).cast("int")
