@@ -30,6 +30,7 @@ LENGTH = 50
 GRAM = 24
 CHUNK_BYTES = 2 << 20
 MOST_BUCKETS = 4096
+_STEP_BYTES = 1 << 19  # sorted at a time within a bucket
 
 
 class Runs:
@@ -147,6 +148,53 @@ def _send_runs(length: int, gram: int, buckets: int):
     return run
 
 
+def _names_of(data: np.ndarray, start: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """The name of each run: all its windows have the same, so the first is enough."""
+    out = np.empty(len(start), np.uint64)
+    for i in range(0, len(start), _STEP_BYTES // length):
+        places = start[i : i + _STEP_BYTES // length]
+        grams = Hashed(data[(places[:, None] + np.arange(length)).ravel()]).windows(gram)
+        grams = np.append(grams, np.zeros(gram - 1, np.uint64)).reshape(-1, length)
+        out[i : i + len(places)] = grams[:, : length - gram + 1].min(1)
+    return out
+
+
+def _by_name(name: np.ndarray, size: np.ndarray):
+    """Runs in groups of about _STEP_BYTES, with all runs of a name in one group."""
+    order = np.argsort(name, kind="stable")
+    ranked = name[order]
+    first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    step = (np.cumsum(size[order]) - size[order])[first] // _STEP_BYTES
+    return np.split(order, first[1:][step[1:] != step[:-1]])
+
+
+def _least_of_windows(data: np.ndarray, size: np.ndarray, doc: np.ndarray, name: np.ndarray, length: int) -> np.ndarray:
+    """The least document of each window of the runs that stand one after another in ``data``."""
+    start = np.cumsum(size) - size
+    order, common = suffix_sort(data, start, size)
+    new = np.ones(len(order), bool)
+    new[1:] = (common[1:] != size[order[1:]]) | (common[1:] != size[order[:-1]])
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new) - 1
+    head = order[new]
+    least = np.minimum.reduceat(doc[order], np.flatnonzero(new))
+    width = size[head] - (length - 1)
+    begin = np.cumsum(width) - width
+    firsts = np.repeat(least, width)
+    # Different runs of one name may share windows: sort those windows as suffixes.
+    _, which, count = np.unique(name[head], return_inverse=True, return_counts=True)
+    mixed = np.flatnonzero(count[which] > 1)
+    if len(mixed):
+        places = spread(start[head[mixed]], width[mixed])
+        slots = spread(begin[mixed], width[mixed])
+        ranked, shared = suffix_sort(data, places, np.full(len(places), length, np.int64))
+        new = shared < length
+        new[0] = True
+        best = np.minimum.reduceat(firsts[slots[ranked]], np.flatnonzero(new))
+        firsts[slots[ranked]] = best[np.cumsum(new) - 1]
+    return firsts[spread(begin[group], width[group])]
+
+
 def _first_documents(length: int, gram: int):
     """For the runs of a bucket, the least document that has each of their windows."""
 
@@ -155,35 +203,15 @@ def _first_documents(length: int, gram: int):
         size = np.concatenate([unblob(x, np.uint32, k) for x, k in zip(sizes, n, strict=True)]).astype(np.int64)
         doc = np.concatenate([unblob(x, np.int64, k) for x, k in zip(docs, n, strict=True)])
         data = np.concatenate([unblob(x, np.uint8, k) for x, k in zip(texts, total, strict=True)])
-        start = np.cumsum(size) - size
-        order, common = suffix_sort(data, start, size)
-        new = np.ones(len(order), bool)
-        new[1:] = (common[1:] != size[order[1:]]) | (common[1:] != size[order[:-1]])
-        group = np.empty(len(order), np.int64)
-        group[order] = np.cumsum(new) - 1
-        head = order[new]
-        least = np.minimum.reduceat(doc[order], np.flatnonzero(new))
-        # Different runs of one name may share windows: sort those windows as suffixes.
-        grams = size[head] - (gram - 1)
-        name = np.minimum.reduceat(Hashed(data).windows(gram)[spread(start[head], grams)], np.cumsum(grams) - grams)
-        held, count = np.unique(name, return_counts=True)
-        mixed = np.flatnonzero(np.isin(name, held[count > 1]))
-        width = size[head] - (length - 1)
+        start, width = np.cumsum(size) - size, size - (length - 1)
         begin = np.cumsum(width) - width
-        firsts = np.repeat(least, width)
-        if len(mixed):
-            places = spread(start[head[mixed]], width[mixed])
-            slots = spread(begin[mixed], width[mixed])
-            ranked, shared = suffix_sort(data, places, np.full(len(places), length, np.int64))
-            new = shared < length
-            new[0] = True
-            best = np.minimum.reduceat(firsts[slots[ranked]], np.flatnonzero(new))
-            firsts[slots[ranked]] = best[np.cumsum(new) - 1]
-        out, at = [], 0
-        for k in n:
-            mine = group[at : at + k]
-            out.append(firsts[spread(begin[mine], width[mine])])
-            at += k
+        name = _names_of(data, start, length, gram)
+        firsts = np.empty(int(width.sum()), np.int64)
+        for runs in _by_name(name, size):
+            found = _least_of_windows(data[spread(start[runs], size[runs])], size[runs], doc[runs], name[runs], length)
+            firsts[spread(begin[runs], width[runs])] = found
+        ends = np.cumsum([int(width[b - k : b].sum()) for b, k in zip(np.cumsum(n).tolist(), n, strict=True)])
+        out = np.split(firsts, ends[:-1])
         return pa.table(
             [pa.array(chunks, pa.int64()), pa.array(n, pa.int32()), pa.array(numbers, pa.binary()), pa.array([len(x) for x in out], pa.int64()), pa.array([blob(x) for x in out], pa.binary())],
             ["chunk", "n", "numbers", "n_windows", "firsts"],
@@ -238,7 +266,7 @@ def span_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk_by
     row, names = packed(docs, ("text", "n_bytes", "spans", "kept"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-total // chunk_bytes))
-    buckets = max(8, min(MOST_BUCKETS, chunks // 2))
+    buckets = max(8, min(MOST_BUCKETS, chunks))
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("_chunk"), order_id("doc_id").alias("_id"), row.alias("_row"), text.alias("_text"))
     dealt = rows.groupBy("_chunk")
