@@ -4,7 +4,8 @@
    Every document gets a posterior for each domain; nothing is assigned hard.
 2. Document rates are the nonnegative least-squares fit of expected domain totals (rate x words x posterior) to the targets. The
    projected gradient runs from rate 1 in the metric of words, so that equal posteriors get equal rates; residuals are weighted by
-   the inverse of the domains' second moments, which makes 1 the right step. A step needs one sum for each domain; the rates of
+   the inverse of the domains' second moments, raised by RIDGE so that domains which the posteriors hardly tell apart do not
+   push rates to extremes. With this weight 1 is a safe step. A step needs one sum for each domain; the rates of
    all steps so far are one column expression, so no rates are stored or moved.
 """
 
@@ -25,6 +26,7 @@ FEATURES = 50_000
 SMOOTHING = 1.0
 SIGMAS = 5.0
 STEPS = 60
+RIDGE = 0.02
 CLOSE = 1e-7
 # Letters of the languages at hand; they would only tell languages apart.
 _LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZàâäáãçéèêëíîïñóôöõúûùüßÀÂÄÁÃÇÉÈÊËÍÎÏÑÓÔÖÕÚÛÙÜ"
@@ -100,9 +102,9 @@ def posteriors(docs: DataFrame, weights: DataFrame, priors: list[Column]) -> Dat
 
 
 def inverse(matrix: list[list[float]]) -> list[list[float]]:
-    """Gauss-Jordan elimination of a small symmetric matrix, with a ridge for domains that no document belongs to."""
+    """Gauss-Jordan elimination of a small symmetric matrix whose diagonal is raised by RIDGE of its largest entry."""
     n = len(matrix)
-    ridge = 1e-12 * max(1e-9, *(matrix[i][i] for i in range(n)))
+    ridge = RIDGE * max(1e-9, *(matrix[i][i] for i in range(n)))
     rows = [[*map(float, matrix[i]), *(float(i == j) for j in range(n))] for i in range(n)]
     for i in range(n):
         rows[i][i] += ridge

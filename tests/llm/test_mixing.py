@@ -37,7 +37,8 @@ def test_rates_equal_dense_projected_gradient(spark):
     rows = spark.createDataFrame([(int(w), *map(float, q)) for w, q in zip(n, p, strict=True)], "n_words long, p_good double, p_poor double, p_toxic double")
     for share in ([0.5, 0.3, 0.2], [0.97, 0.0, 0.03], [0.1, 0.1, 0.8]):
         target = np.array(share) * n.sum()
-        weight, rate = np.linalg.inv((p * n[:, None]).T @ p), np.ones(200)
+        second, rate = (p * n[:, None]).T @ p, np.ones(200)
+        weight = np.linalg.inv(second + mixing.RIDGE * second.max() * np.eye(3))
         for _ in range(mixing.STEPS):
             over = (rate * n) @ p - target
             if np.abs(over).max() <= mixing.CLOSE * target.sum():
