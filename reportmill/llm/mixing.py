@@ -27,7 +27,7 @@ SMOOTHING = 1.0
 SIGMAS = 5.0
 STEPS = 60
 RIDGE = 0.02
-CLOSE = 1e-7
+CLOSE = 2e-5
 # Letters of the languages at hand; they would only tell languages apart.
 _LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZàâäáãçéèêëíîïñóôöõúûùüßÀÂÄÁÃÇÉÈÊËÍÎÏÑÓÔÖÕÚÛÙÜ"
 
