@@ -12,6 +12,8 @@ import numpy as np
 
 _POINT = 1e-7  # below this radius rounding hides distances, and members count as one place
 _CELLS = 1 << 21  # distances that one step of the traversal holds
+_ROWS = 128
+_NONE = np.zeros(0, np.int64)
 
 
 class Tree:
@@ -21,7 +23,7 @@ class Tree:
         self.points, n = points, len(points)
         self.order = np.arange(n)
         self.centre, self.begin, self.end, self.radius = [0], [0], [n], [_radius(points, 0, self.order)]
-        self.children: list[np.ndarray] = [np.zeros(0, np.int64)]
+        self.children: list[np.ndarray] = [_NONE]
         open_ = [(0, 1.0)]
         while open_:
             node, scale = open_.pop()
@@ -32,23 +34,30 @@ class Tree:
         self.centre, self.begin, self.end, self.radius = map(np.array, (self.centre, self.begin, self.end, self.radius))
 
     def _split(self, node: int, scale: float) -> list[int]:
+        """Children of a node: greedily, the next member that is not covered becomes a centre. Distances are taken many rows at a time."""
         a, b = self.begin[node], self.end[node]
-        left, made, at, centre = self.order[a:b], [], a, self.centre[node]
-        placed = []
+        members = self.order[a:b]
+        left = np.concatenate([[self.centre[node]], members[members != self.centre[node]]])
+        made, at, placed = [], a, []
         while len(left):
-            distance = _distance(self.points[left] @ self.points[centre])
-            near = (distance <= scale) | (left == centre)
-            members = left[near]
-            placed.append(members)
-            made.append(len(self.centre))
-            self.centre.append(centre)
-            self.begin.append(at)
-            at += len(members)
-            self.end.append(at)
-            self.radius.append(float(distance[near].max()) if len(members) > 1 else 0.0)
-            self.children.append(np.zeros(0, np.int64))
-            left = left[~near]
-            centre = int(left[0]) if len(left) else centre
+            rows = _distance(self.points[left[:_ROWS]] @ self.points[left].T)
+            alive = np.ones(len(left), bool)
+            for row in range(len(rows)):
+                if not alive[row]:
+                    continue
+                near = alive & (rows[row] <= scale)
+                near[row] = True
+                covered = np.flatnonzero(near)
+                alive[covered] = False
+                placed.append(left[covered])
+                made.append(len(self.centre))
+                self.centre.append(int(left[row]))
+                self.begin.append(at)
+                at += len(covered)
+                self.end.append(at)
+                self.radius.append(float(rows[row, covered].max()) if len(covered) > 1 else 0.0)
+                self.children.append(_NONE)
+            left = left[alive]
         self.order[a:b] = np.concatenate(placed)
         self.children[node] = np.array(made)
         return made
