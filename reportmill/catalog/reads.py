@@ -17,7 +17,7 @@ from reportmill.plans import group_map, heatmap, meta, reports
 from reportmill.plans.ingest_rows import CATEGORY_LAYERS, ingest_counts, square_bins, validated
 from reportmill.plans.params import Page, ReportFilter, parse_area, parse_filter, parse_page
 from reportmill.sources.geojson import point_features, polygon_features
-from reportmill.sources.tables import in_window, read_reports, write_reports
+from reportmill.sources.tables import export_reports_json, in_window, load_reports_json, read_reports, write_reports
 from reportmill.session import scratch_dir
 
 RES = 8
@@ -115,6 +115,23 @@ def heatmap_from_table(spark, folder):
     return _listed(heatmap.heatmap(stored, _filter(), RES))
 
 
+def reports_from_json(spark, folder):
+    """All reports exported as JSON lines and loaded again."""
+    import uuid
+
+    path = f"{scratch_dir(spark)}/reports-json-{uuid.uuid4().hex}"
+    export_reports_json(B.reports(spark, folder), path)
+    back = load_reports_json(spark, path, None)
+    return back.select(
+        "id", "event_id", "city", "title", "category", "source_type", "source_link", B.iso("published_datetime").alias("published"), B.iso("incident_datetime").alias("incident"),
+        F.md5("description").alias("description"), "police_station", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"), "geo_precision",
+    )
+
+
+_JSON_SQL = f"""WITH {B.REPORTS_SQL} SELECT id, event_id, city, title, category, source_type, source_link, {B.iso_sql('published_datetime')} AS published, {B.iso_sql('incident_datetime')} AS incident,
+  md5(description) AS description, police_station, round(lat, 6) AS lat, round(lng, 6) AS lng, geo_precision FROM reports"""
+
+
 HEATMAP_SQL = f"""WITH {_cells_sql()}, centered AS (SELECT *, {_center_sql(RES)} FROM cells)
 SELECT cell, {_lat_sql('cy')} AS lat, {_lng_sql('cx')} AS lng, count, categories FROM centered"""
 
@@ -389,6 +406,7 @@ _HAV = "(pow(sin(radians(b - lat) / 2), 2) + cos(radians(lat)) * cos(radians(b))
 
 R = f"WITH {B.REPORTS_SQL}"
 QUERIES = {
+    "reports_from_json": (reports_from_json, _JSON_SQL),
     "heatmap_cells": (heatmap_cells, HEATMAP_SQL),
     "heatmap_from_table": (heatmap_from_table, HEATMAP_SQL),
     "heatmap_news_fine": (heatmap_news_fine, f"WITH {_cells_sql(_NEWS_FILTER, 10)} SELECT cell, count FROM cells"),

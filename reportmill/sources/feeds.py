@@ -20,8 +20,8 @@ from reportmill.operators.hotkeys import first_by
 from reportmill.sources.pages import html_to_text
 
 _ARTICLE = "struct<url:string,title:string,published_at:timestamp,description:string,text:string,keywords:array<string>,city:string,source_name:string>"
-# Items of one payload keep their order in ``seq``: payload number times this, plus position.
-_PER_PAYLOAD = 1_000_000
+# Items of one payload keep their order in ``seq``: payload number times this, plus position. No array has more items.
+_PER_PAYLOAD = 1 << 31
 
 RSS = "channel struct<item array<struct<title string, link string, pubDate string>>>"
 SITEMAP_INDEX = "sitemap array<struct<loc string>>"

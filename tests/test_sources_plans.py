@@ -11,7 +11,7 @@ from reportmill.schemas import GAZETTEER, GEOCODE, REPORT
 from reportmill.sources.geojson import point_features
 from reportmill.sources.pages import parse_pages
 from reportmill.sources.tables import (
-    add_geocodes, export_reports_json, load_reports_json, read_geocode_cache, read_reports, versions, write_reports,
+    add_geocodes, export_reports_json, load_reports_json, read_geocode_cache, read_reports, sequenced, versions, with_place, write_reports,
 )
 from reportmill.streaming.live import police_to_table
 
@@ -98,6 +98,27 @@ def test_table_versions_and_json(spark, tmp_path):
     back = load_reports_json(spark, out, NOW)
     assert [(r.id, r.published_datetime) for r in back.collect()] == [("a", DAY)] and "group" in back.columns
     assert load_reports_json(spark, str(tmp_path / "no"), NOW).count() == 0
+    many = table(spark, *[report(f"m{i:04d}", title=f"t\n{i}") for i in range(1000)])
+    export_reports_json(many, str(tmp_path / "many"))
+    for again in (load_reports_json(spark, str(tmp_path / "many"), NOW), load_reports_json(spark, str(tmp_path / "many"), None)):
+        assert sorted((r.id, r.title) for r in again.collect()) == sorted((r.id, r.title) for r in many.collect())
+    lines = [x.value for x in spark.read.text(str(tmp_path / "many")).collect()]
+    (tmp_path / "array.json").write_text("[\n" + ",\n".join(lines) + "\n]")
+    assert load_reports_json(spark, str(tmp_path / "array.json"), NOW, array=True).count() == 1000
+
+
+def test_line_order_follows_names_and_lines(spark, tmp_path):
+    """The small first file is read after the large one, yet its line comes first."""
+    (tmp_path / "a.jsonl").write_text("first\n")
+    (tmp_path / "b.jsonl").write_text("".join(f"b{i}\n" for i in range(3000)))
+    (tmp_path / "c.jsonl").write_text("".join(f"c{i}\n" for i in range(5)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = sequenced(with_place(spark.read.text(str(tmp_path)))).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    got = [r.value for r in sorted(rows, key=lambda r: r.seq)]
+    assert got == ["first", *[f"b{i}" for i in range(3000)], *[f"c{i}" for i in range(5)]] and len({r.seq for r in rows}) == len(got)
 
 
 def test_geocode_cache(spark, tmp_path):
