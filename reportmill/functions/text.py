@@ -22,6 +22,17 @@ def classify_raw(text: Column, taxonomy: Taxonomy = TAXONOMY) -> Column:
     return F.lower(F.coalesce(*rules))
 
 
+def classified(text: Column, taxonomy: Taxonomy = TAXONOMY) -> Column:
+    """(category, phrase) in one pass over the rules: each runs once and only until one matches."""
+
+    def hit(identifier: str, words) -> Column:
+        found = F.nullif(F.regexp_extract(text, whole_words(words), 0), F.lit(""))
+        return let(found, lambda p: F.when(p.isNotNull(), F.struct(F.lit(identifier).alias("category"), F.lower(p).alias("phrase"))))
+
+    none = F.struct(F.lit(taxonomy.fallback).alias("category"), F.lit(None).cast("string").alias("phrase"))
+    return F.coalesce(*[hit(c.id, c.words) for c in taxonomy.categories if c.words], none)
+
+
 def base_group(category: Column, taxonomy: Taxonomy = TAXONOMY) -> Column:
     pairs = [F.lit(x) for item in taxonomy.base_group().items() for x in item]
     return F.element_at(F.create_map(*pairs), category)
@@ -120,6 +131,6 @@ def label_of(identifier: Column) -> Column:
     """Words of an id with capitals, for display."""
     spaced = trimmed(F.regexp_replace(identifier, "[_-]+", " "))
     titled = F.array_join(
-        F.transform(F.split(spaced, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000))), " "
+        F.transform(F.split(spaced, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))), " "
     )
     return F.when(F.coalesce(identifier, F.lit("")) == "", F.lit("Uncategorized")).otherwise(titled)

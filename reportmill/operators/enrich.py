@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reportmill.config import TAXONOMY, Taxonomy
-from reportmill.functions.text import classify, classify_raw, clean_description, clean_text, clean_title, likely_incident
+from reportmill.functions.text import classified, clean_description, clean_text, clean_title, likely_incident
 from reportmill.functions.times import incident_time, instant
 from reportmill.functions.urls import canonical_url, report_id
 from reportmill.operators.places import resolve_locations
+from reportmill.operators.stages import compute_once
 
 
 def still_wanted(articles: DataFrame, cutoff: datetime) -> DataFrame:
@@ -28,14 +30,15 @@ def project_articles(located: DataFrame, taxonomy: Taxonomy = TAXONOMY) -> DataF
             "_when": incident_time(F.col("text"), F.col("published_at")),
         }
     ).withColumn("_at", F.col("_when.incident_at"))
+    staged = compute_once(staged, {"_class": classified(F.col("_about"), taxonomy)})
     return staged.select(
         *[c for c in ("seq", "source", "unresolved") if c in located.columns],
         report_id(F.col("_link")).alias("id"),
         report_id(F.col("_link")).alias("event_id"),
         "city",
         clean_title(F.col("title")).alias("title"),
-        classify(F.col("_about"), taxonomy).alias("category"),
-        classify_raw(F.col("_about"), taxonomy).alias("category_raw"),
+        F.col("_class.category").alias("category"),
+        F.col("_class.phrase").alias("category_raw"),
         "source_name",
         F.lit("news").alias("source_type"),
         F.col("_link").alias("source_link"),
@@ -53,8 +56,13 @@ def project_articles(located: DataFrame, taxonomy: Taxonomy = TAXONOMY) -> DataF
     )
 
 
-def enrich_articles(articles: DataFrame, gazetteer: DataFrame, geocodes: DataFrame, key: str = "url", taxonomy: Taxonomy = TAXONOMY) -> DataFrame:
-    """Located, classified, dated and scrubbed reports with ``in_area``; rows outside their city carry false there."""
+def enrich_articles(
+    articles: DataFrame, gazetteer: DataFrame, geocodes: DataFrame, key: str = "url", taxonomy: Taxonomy = TAXONOMY, resolve: Callable[..., DataFrame] = resolve_locations
+) -> DataFrame:
+    """Located, classified, dated and scrubbed reports with ``in_area``; rows outside their city carry false there.
+
+    ``resolve`` (rows, gazetteer, geocodes, key) adds ``location`` and ``unresolved``; another resolver may be given.
+    """
     none = F.lit(None)
     inputs = articles.withColumns({"location_text": none.cast("string"), "lat": none.cast("double"), "lng": none.cast("double")})
-    return project_articles(resolve_locations(inputs, gazetteer, geocodes, key), taxonomy)
+    return project_articles(resolve(inputs, gazetteer, geocodes, key), taxonomy)

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reportmill.config import TAXONOMY, Taxonomy
-from reportmill.functions.text import classify, classify_raw, clean_text, scrub_pii
+from reportmill.functions.text import classified, clean_text, scrub_pii
 from reportmill.operators.events import assign_events
 from reportmill.operators.places import generic_office, resolve_locations
+from reportmill.operators.stages import compute_once
 
 
 def rederive(reports: DataFrame, gazetteer: DataFrame, geocodes: DataFrame, taxonomy: Taxonomy = TAXONOMY) -> DataFrame:
@@ -21,12 +22,13 @@ def rederive(reports: DataFrame, gazetteer: DataFrame, geocodes: DataFrame, taxo
             "location_text": F.when(F.coalesce("location_text", F.lit("")) != "", scrub_pii(F.col("location_text"))),
         }
     ).withColumn("_about", F.concat("title", F.lit(" "), F.coalesce("description", F.lit(""))))
+    clean = compute_once(clean, {"_class": F.when(news, classified(F.col("_about"), taxonomy))})
     clean = clean.withColumns(
         {
-            "category": F.when(news, classify(F.col("_about"), taxonomy)).otherwise(F.col("category")),
-            "category_raw": F.when(news, classify_raw(F.col("_about"), taxonomy)).otherwise(F.col("category_raw")),
+            "category": F.when(news, F.col("_class.category")).otherwise(F.col("category")),
+            "category_raw": F.when(news, F.col("_class.phrase")).otherwise(F.col("category_raw")),
         }
-    ).drop("_about")
+    ).drop("_about", "_class")
     generic = (F.coalesce("police_station", F.lit("")) != "") & generic_office(F.col("police_station"))
     none = F.lit(None)
     inputs = clean.filter(generic).select(

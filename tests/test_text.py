@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from reportmill.functions import text as T
 from reportmill.functions.patterns import portable
@@ -115,3 +116,22 @@ def test_keywords_and_labels(evaluate):
 def test_portable_spells_out_classes():
     assert portable(r"a$", True) == r"(?i)a\z"
     assert r"\b" not in portable(r"\bx[\s,]\b")
+
+
+def test_another_taxonomy_and_resolver(spark):
+    from datetime import datetime
+
+    from reportmill.config import Category, Taxonomy
+    from reportmill.operators.enrich import enrich_articles
+    from reportmill.schemas import ARTICLE
+
+    place = "struct<location_text:string,police_station:string,lat:double,lng:double,geo_precision:string,in_area:boolean>"
+
+    def resolve(rows, gazetteer, geocodes, key):
+        found = F.struct(F.lit("Pier").alias("location_text"), F.lit(None).cast("string").alias("police_station"), F.lit(1.0).alias("lat"), F.lit(2.0).alias("lng"), F.lit("locality").alias("geo_precision"), F.lit(True).alias("in_area"))
+        return rows.withColumn("location", found.cast(place)).withColumn("unresolved", F.array().cast("array<string>"))
+
+    own = Taxonomy(categories=(Category("boats", None, "Boats", r"boats?|ships?"), Category("rest", None, "Rest", None)), fallback="rest")
+    rows = [("http://n.in/a", "Two Boats sink", datetime(2026, 5, 1), "", "", [], "goa", "N"), ("http://n.in/b", "A robbery", datetime(2026, 5, 1), "", "", [], "goa", "N")]
+    got = {r.source_link: r for r in enrich_articles(spark.createDataFrame(rows, ARTICLE), None, None, taxonomy=own, resolve=resolve).collect()}
+    assert [(got[u].category, got[u].category_raw, got[u].location_text) for u in sorted(got)] == [("boats", "boats", "Pier"), ("rest", None, "Pier")]
