@@ -18,24 +18,19 @@ def with_group(reports: DataFrame, taxonomy: Taxonomy = TAXONOMY) -> DataFrame:
     return compute_once(reports, {"group": group_of(F.col("category"), F.col("title"), F.col("description"), taxonomy)})
 
 
-def _one_per_event(rows: DataFrame) -> DataFrame:
-    """Highest score wins (police 10, precision 3-2-1-0); ties go to the newest, then the smallest id."""
+def derive(reports: DataFrame) -> DataFrame:
+    """Grouped rows, one per event, with ``on_map``: mapped events, and city-level ones that are not on the map.
+
+    One pass picks both: a mapped row of an event comes before its city-level ones, then the highest score wins (police 10,
+    precision 3-2-1-0), then the newest, then the smallest id.
+    """
+    event = F.coalesce(F.nullif("event_id", F.lit("")), F.col("id"))
     police = F.when(F.col("source_type").startswith("police_"), 10).otherwise(0)
     points = {"address": 3, "police_station": 2, "locality": 1}
     precision = F.coalesce(*[F.when(F.col("geo_precision") == k, v) for k, v in points.items()], F.lit(0))
-    order = [-(police + precision), descending(F.col("effective_at")), F.col("id")]
-    return first_by(rows, ["_event"], order)
-
-
-def derive(reports: DataFrame) -> DataFrame:
-    """Grouped rows, one per event, with ``on_map``: mapped events, and city-level ones that are not on the map."""
-    event = F.coalesce(F.nullif("event_id", F.lit("")), F.col("id"))
-    grouped = with_group(reports).filter(F.col("group").isNotNull()).withColumn("_event", event)
-    mapped = _one_per_event(grouped.filter(mappable()))
-    rest = grouped.filter(~mappable()).join(mapped.select("_event"), "_event", "left_anti")
-    city_level = _one_per_event(rest)
-    both = mapped.withColumn("on_map", F.lit(True)).unionByName(city_level.withColumn("on_map", F.lit(False)))
-    return both.select(*reports.columns, "group", "on_map")
+    order = [~mappable(), -(police + precision), descending(F.col("effective_at")), F.col("id")]
+    grouped = with_group(reports.filter(mappable().isNotNull())).filter(F.col("group").isNotNull()).withColumn("_event", event)
+    return first_by(grouped, ["_event"], order).withColumn("on_map", mappable()).select(*reports.columns, "group", "on_map")
 
 
 def in_group(rows: DataFrame, group: str | None) -> DataFrame:
