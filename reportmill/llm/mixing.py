@@ -95,7 +95,7 @@ def posteriors(docs: DataFrame, weights: DataFrame, priors: list[Column]) -> Dat
     sums = probed.groupBy(*keys).agg(*[F.sum(F.coalesce(f"a_{d}", F.lit(0.0)) + F.coalesce(f"b_{d}", F.lit(0.0))).alias(f"s_{d}") for d in DOMAINS], F.count("*").alias("found"))
     times = F.greatest(F.lit(1.0), F.col("found") / F.greatest(F.lit(1), F.col("n_distinct")))
     heat = F.sqrt(1 + F.col("n_distinct") / 100)
-    logits = {f"l_{d}": (prior + F.coalesce(F.col(f"s_{d}") / times, F.lit(0.0))) / heat for d, prior in zip(DOMAINS, priors, strict=True)}
+    logits = {f"l_{d}": prior + F.coalesce(F.col(f"s_{d}") / times, F.lit(0.0)) / heat for d, prior in zip(DOMAINS, priors, strict=True)}
     exps = {f"e_{d}": F.exp(F.col(f"l_{d}") - F.greatest(*logits)) for d in DOMAINS}
     shares = {f"p_{d}": F.col(f"e_{d}") / sum((F.col(e) for e in list(exps)[1:]), F.col(list(exps)[0])) for d in DOMAINS}
     return sums.withColumns(logits).withColumns(exps).withColumns(shares).select(*keys[:4], *shares)
