@@ -15,7 +15,7 @@ from reportmill.llm import jaccard_join, line_dedup, mixing, pieces, quality
 from reportmill.session import scratch_dir
 
 # Words of each domain after mixing, as a multiple of what is there.
-MULTIPLES = {"good": 1.3, "poor": 0.5, "toxic": 0.2}
+MULTIPLES = {"good": 1.1, "poor": 0.8, "toxic": 0.6}
 _COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
