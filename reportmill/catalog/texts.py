@@ -243,7 +243,6 @@ QUERIES = {
     "page_keywords": (page_keywords, """SELECT page_id, array_to_string(list_filter(list_transform(string_split(' crime ,' || regexp_replace(url, '[/:]+', ' , ', 'g'), ','), lambda w: trim(w)), lambda w: w <> ''), '|') AS keywords FROM pages"""),
     "document_similarity": (document_similarity, f"""WITH t AS (SELECT doc_id, {tokens_sql('text')} AS a FROM documents), p AS (SELECT t.doc_id, t.a, o.a AS b, len(list_intersect(t.a, o.a)) AS n FROM t JOIN t o ON o.doc_id = t.doc_id + 1)
       SELECT doc_id, CAST(round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE n / (len(a) + len(b) - n) END, 6) AS DOUBLE) AS similarity FROM p"""),
-    "word_order": (word_order, f"""WITH t AS (SELECT doc_id, {tokens_sql('text')} AS a FROM documents), w AS (SELECT doc_id, unnest(a) AS w FROM t), f AS (SELECT w, count(*) AS n FROM w GROUP BY 1),
-      top AS (SELECT w, n FROM f ORDER BY n DESC, w LIMIT 20000)
-      SELECT doc_id, CAST(count(*) AS INTEGER) AS k, first(w.w ORDER BY coalesce(n, 0), w.w) AS rarest FROM w LEFT JOIN top ON top.w = w.w GROUP BY 1"""),
+    "word_order": (word_order, f"""WITH t AS (SELECT doc_id, {tokens_sql('text')} AS a FROM documents), w AS (SELECT doc_id, unnest(a) AS w FROM t), f AS (SELECT w, count(*) AS n FROM w GROUP BY 1)
+      SELECT doc_id, CAST(count(*) AS INTEGER) AS k, first(w.w ORDER BY n, w.w) AS rarest FROM w JOIN f ON f.w = w.w GROUP BY 1"""),
 }

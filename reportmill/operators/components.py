@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from reportmill.operators.hotkeys import HOT_ROWS, join_unique
 from reportmill.session import scratch_dir
 
-MAX_ROUNDS = 60
-
 
 def _oriented(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Distinct pairs with the larger name first; loops dropped."""
@@ -52,9 +50,9 @@ def connected_components(
     scratch_dir(edges.sparkSession)
     current = _oriented(edges, a, b).checkpoint()
     before = _fingerprint(current)
-    for number in range(MAX_ROUNDS):
-        if not before[0] or number == rounds:
-            break
+    number = 0
+    while before[0] and number != rounds:
+        number += 1
         grown = _large_star(current, before[0], hot_rows)
         if before[0] >= hot_rows:
             # Large graphs: the next step needs the true size of this one to find its hot keys.
@@ -65,8 +63,6 @@ def connected_components(
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError("component search did not settle")
     roots = current.select(F.col("lo").alias("node")).distinct()
     linked = current.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("component"))
     if rounds is not None:
