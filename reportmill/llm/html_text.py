@@ -1,9 +1,11 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one per block. Menus, forms and the like become runs of blank lines, and so do the borders of an
-article. A line weighs as many characters as it has outside links; where a page marks its article, lines outside it weigh nothing.
-Sums over sliding windows of lines then rise above the threshold at a surge point and fall to nothing at a dive point. All lines
-between the two are kept, short ones included.
+article. On every page a line weighs as many characters as it has outside links. Sums over sliding windows of lines then rise above
+the threshold at a surge point and fall to nothing at a dive point. All lines between the two are kept, short ones included.
+Where <article> and <main> hold at least half of a page's characters outside links, their lines weigh SURGE more, so that short
+articles are found too; lines outside them are still judged by their own weight. Where they hold less, as teasers do, they are only
+borders.
 """
 
 from __future__ import annotations
@@ -46,8 +48,8 @@ def _cues(rest: str) -> set[str]:
     return {w for _, value in _ATTRIBUTE.findall(rest) for w in re.split(r"[^a-z]+", value.lower())} if "=" in rest else set()
 
 
-def _lines(page: str) -> tuple[list[tuple[str, int, bool] | None], bool]:
-    """One (text, characters outside links, inside an article) for each block, None for a border; whether an article has text."""
+def _lines(page: str) -> list[tuple[str, int, bool] | None]:
+    """One (text, characters outside links, inside an article) for each block, None for a border."""
     lines: list[tuple[str, int, bool] | None] = []
     block: list[str] = []
     plain = articles = links = 0
@@ -111,13 +113,15 @@ def _lines(page: str) -> tuple[list[tuple[str, int, bool] | None], bool]:
     if not skip and not raw and at < len(page):
         say(page[at:])
     close()
-    return lines, any(x and x[2] for x in lines)
+    return lines
 
 
 def main_text(page: str | None) -> str:
     """The text between surge and dive points, blocks joined by line ends."""
-    lines, marked = _lines(page or "")
-    weights = [0 if x is None or (marked and not x[2]) else SURGE if marked else x[1] for x in lines]
+    lines = _lines(page or "")
+    inside, whole = sum(x[1] for x in lines if x and x[2]), sum(x[1] for x in lines if x)
+    bonus = SURGE if 2 * inside >= whole else 0
+    weights = [0 if x is None else x[1] + bonus * x[2] for x in lines]
     total = [0, *accumulate(weights)]
     sums = [total[min(len(weights), i + WINDOW)] - total[i] for i in range(len(weights))]
     kept, i = [], 0
@@ -126,7 +130,7 @@ def main_text(page: str | None) -> str:
             i += 1
             continue
         while i < len(lines) and sums[i]:  # up to the dive
-            if lines[i] is not None and (weights[i] or not marked):
+            if lines[i] is not None:
                 kept.append(lines[i][0])
             i += 1
     return "\n".join(kept)

@@ -24,6 +24,21 @@ def test_page_without_article_keeps_text_between_surge_and_dive():
     assert main_text(page) == "A title\n" + ("long words " * 20).strip() + "\nShort.\n" + ("more words " * 20).strip()
 
 
+def test_page_whose_only_article_is_a_teaser():
+    body = ["long words " * 20, "Short.", "more words " * 20]
+    teaser = "<article><h3><a href=/other>Another story</a></h3><p>Read on</p></article>"
+    for tag in ("div", "p"):
+        inner = "".join(f"<{tag}>{x}</{tag}>" for x in body)
+        for page in (inner + teaser, teaser + inner):
+            assert main_text(f"<body><h1>A title</h1>{page}</body>").removeprefix("A title\n") == "\n".join(x.strip() for x in body)
+
+
+def test_text_beside_an_article_is_judged_by_its_own_weight():
+    article = "<article><h1>T</h1><p>" + "long words " * 20 + "</p></article>"
+    lead = "a lead that stands before the article and is long"
+    assert main_text(f"<div>{lead}</div>{article}<div>Tags</div><div><a href=x>{lead}</a></div>") == f"{lead}\nT\n" + ("long words " * 20).strip()
+
+
 def test_odd_pages():
     assert [main_text(x) for x in (None, "", "<", "<article>", "<script>" * 3, "<!-- open")] == [""] * 6
     assert main_text("<article>" + "<" * 20000 + "</article>") == "<" * 20000
