@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from reportmill.llm import jaccard_join, line_dedup, mixing, pieces, quality
 from reportmill.session import scratch_dir
 
-# Words of each domain after mixing, as a multiple of what is there.
-MULTIPLES = {"good": 1.1, "poor": 0.8, "toxic": 0.6}
 _COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -36,15 +34,18 @@ def keep_one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_domains(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rate says, so that the words of each domain come near MULTIPLES.
+    """Documents as often as their rate says, so that domains have mixing.SHARES of as many words as there are.
 
-    A document that is more likely good than not stays at least once.
+    A document that is more likely good than not stays at least once; where such documents have more good words than the share
+    allows, all domains grow with them. The classifier learns from all documents, as few poor ones are left here.
     """
-    scores = mixing.scored(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    held = scores.agg(*[F.coalesce(F.sum(F.col("n_words") * F.col(f"p_{d}")), F.lit(0.0)) for d in mixing.DOMAINS]).first()
-    targets = {d: MULTIPLES[d] * held[i] for i, d in enumerate(mixing.DOMAINS)}
-    rate = F.greatest(mixing.rates(scores, targets), F.when(F.col("p_good") >= 0.5, 1.0).otherwise(0.0))
-    return mixing.repeat_by_rate(docs, scores.withColumn("rate", rate))
+    whole = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    scores = mixing.scored(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), whole)
+    good = F.col("p_good") >= 0.5
+    held = scores.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum(F.when(good, F.col("n_words") * F.col("p_good"))), F.lit(0.0))).first()
+    words = max(held[0], held[1] / mixing.SHARES["good"])
+    targets = {d: share * words for d, share in mixing.SHARES.items()}
+    return mixing.repeat_by_rate(docs, scores.withColumn("rate", mixing.rates(scores, targets, least=F.when(good, 1.0).otherwise(0.0))))
 
 
 def encode_tokens(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

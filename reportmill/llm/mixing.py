@@ -54,7 +54,16 @@ def labelled_sample(labels: DataFrame, bound: int = TRAIN_ROWS) -> DataFrame:
     return picked.groupBy("doc_id").agg(F.min(_domain()).alias("domain"))
 
 
-def fit(docs: DataFrame, sample: DataFrame) -> tuple[DataFrame, list[float]]:
+def log_priors(docs: DataFrame, sample: DataFrame) -> list[Column]:
+    """Shares of the domains among the labelled documents that ``docs`` holds."""
+    named = F.broadcast(sample.withColumnRenamed("doc_id", "_id"))  # TRAIN_ROWS rows at most
+    held = docs.select("doc_id").join(named, F.col("doc_id") == F.col("_id")).groupBy("domain").agg(F.count_distinct("_id").alias("n"))
+    sizes = {r["domain"]: r["n"] for r in held.collect()}
+    whole = sum(sizes.values()) + len(DOMAINS)
+    return [F.log(F.lit((sizes.get(d, 0) + 1) / whole)) for d in DOMAINS]
+
+
+def fit(docs: DataFrame, sample: DataFrame) -> tuple[DataFrame, list[Column]]:
     """((feature, w_<domain>...), log priors): the FEATURES that tell domains apart best, at most.
 
     A weight says how much more often a domain has a feature than all domains together. Where the difference is no more than chance
@@ -66,16 +75,13 @@ def fit(docs: DataFrame, sample: DataFrame) -> tuple[DataFrame, list[float]]:
     parts = words.select("domain", F.explode(F.array_compact(F.array(_word_feature(F.col("word")), _rest_feature(F.col("word"))))).alias("feature"))
     counts = parts.groupBy("feature").agg(*[F.count_if(F.col("domain") == d).alias(d) for d in DOMAINS]).checkpoint()
     totals = counts.agg(*[F.coalesce(F.sum(d), F.lit(0)).alias(d) for d in DOMAINS]).first()
-    sizes = {r["domain"]: r["n"] for r in sample.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     seen, total = [F.col(d) for d in DOMAINS], max(1, sum(totals))
     alike = [sum(seen[1:], seen[0]) * (totals[d] / total) for d in DOMAINS]
     apart = [F.abs(s - a) / F.sqrt(a + 1) for s, a in zip(seen, alike, strict=True)]
     logs = [F.when(z > SIGMAS, F.log((s + SMOOTHING) / (a + SMOOTHING))).otherwise(F.lit(0.0)).alias(f"w_{d}") for z, s, a, d in zip(apart, seen, alike, DOMAINS, strict=True)]
     best = F.greatest(*apart)
     weights = counts.filter(best > SIGMAS).orderBy(best.desc(), "feature").limit(FEATURES).select("feature", *logs)
-    whole = sum(sizes.values()) + len(DOMAINS)
-    priors = [F.log(F.lit((sizes.get(d, 0) + 1) / whole)) for d in DOMAINS]
-    return weights.checkpoint(), priors
+    return weights.checkpoint(), log_priors(docs, sample)
 
 
 def posteriors(docs: DataFrame, weights: DataFrame, priors: list[Column]) -> DataFrame:
@@ -118,26 +124,35 @@ def inverse(matrix: list[list[float]]) -> list[list[float]]:
     return [r[n:] for r in rows]
 
 
-def rates(scores: DataFrame, targets: dict[str, float], steps: int = STEPS) -> Column:
-    """The rate of each row of ``scores`` (n_words, p_*): a column over them. ``targets`` are words for each domain."""
+def rates(scores: DataFrame, targets: dict[str, float], steps: int = STEPS, least: Column | None = None) -> Column:
+    """The rate of each row of ``scores`` (n_words, p_*): a column over them. ``targets`` are words for each domain.
+
+    No rate is below ``least`` (0 to 1; 0 if not given): each step is projected on it.
+    """
     share, n = [F.col(f"p_{d}") for d in DOMAINS], F.col("n_words")
     second = scores.agg(*[F.coalesce(F.sum(n * a * b), F.lit(0.0)) for a in share for b in share]).first()
     weight = inverse([list(second[len(DOMAINS) * i : len(DOMAINS) * (i + 1)]) for i in range(len(DOMAINS))])
-    rate, whole = F.lit(1.0), max(1.0, sum(targets.values()))
+    rate, whole, least = F.lit(1.0), max(1.0, sum(targets.values())), F.lit(0.0) if least is None else least
     for _ in range(steps):
         totals = scores.agg(*[F.coalesce(F.sum(rate * n * p), F.lit(0.0)) for p in share]).first()
         over = [totals[i] - targets[d] for i, d in enumerate(DOMAINS)]
         if max(map(abs, over)) <= CLOSE * whole:
             break
         pull = [sum(w * o for w, o in zip(row, over, strict=True)) for row in weight]
-        rate = F.greatest(F.lit(0.0), rate - sum((p * x for p, x in zip(share[1:], pull[1:], strict=True)), share[0] * pull[0]))
+        rate = F.greatest(least, rate - sum((p * x for p, x in zip(share[1:], pull[1:], strict=True)), share[0] * pull[0]))
     return rate
 
 
-def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Posteriors of all documents, cut from their lineage."""
+def scored(docs: DataFrame, labels: DataFrame, whole: DataFrame | None = None) -> DataFrame:
+    """Posteriors of all documents, cut from their lineage.
+
+    Where ``docs`` are what is left of ``whole``, words are learned from that, and priors are those of what is left.
+    """
     scratch_dir(docs.sparkSession)
-    weights, priors = fit(docs, labelled_sample(labels))
+    sample = labelled_sample(labels)
+    weights, priors = fit(docs if whole is None else whole, sample)
+    if whole is not None:
+        priors = log_priors(docs, sample)
     return posteriors(docs, weights, priors).checkpoint()
 
 

@@ -48,6 +48,21 @@ def test_rates_equal_dense_projected_gradient(spark):
         assert np.allclose([r.r for r in got], rate, atol=1e-5)
 
 
+def rows_of(spark, n, p):
+    return spark.createDataFrame([(int(w), *map(float, q)) for w, q in zip(n, p, strict=True)], "n_words long, p_good double, p_poor double, p_toxic double")
+
+
+def test_least_rates_are_part_of_the_fit(spark):
+    rng = np.random.default_rng(5)
+    p, n = rng.dirichlet([0.5, 0.3, 0.2], 200), rng.integers(1, 500, 200)
+    low = (p[:, 0] >= 0.5) * 1.0
+    target = (np.where(low > 0, 1.3, 0.6) * n) @ p
+    rows = rows_of(spark, n, p)
+    column = mixing.rates(rows, dict(zip(mixing.DOMAINS, target.tolist(), strict=True)), least=F.when(F.col("p_good") >= 0.5, 1.0).otherwise(0.0))
+    got = np.array([r.r for r in rows.select(column.alias("r")).collect()])
+    assert (got >= low).all() and np.abs((got * n) @ p - target).max() < 1e-3 * n.sum()
+
+
 def test_odd_input(spark):
     rows = [(1, "fine words here", "s", 1), (1, "fine words here", "s", 1), (2, None, None, 2), (3, "", "s", 3), (None, "word " * 3000, "t", 4), (5, "idiot clown", "s", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, rate int")

@@ -6,7 +6,7 @@ import pytest
 import sentencepiece
 
 import corpus_pipeline
-from reportmill.llm import pieces
+from reportmill.llm import mixing, pieces
 from tests.llm.test_jaccard_join import brute as brute_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -74,6 +74,21 @@ def test_stages(spark, folder, tmp_path):
         assert r.n_tokens == len(ids) and bytes(r.ids) == b"".join(i.to_bytes(4, "little") for i in ids)
 
 
+def test_mixing_meets_shares_of_a_corpus_with_other_ones(spark, tmp_path):
+    pick = random.Random(6)
+    shared = [f"w{i}" for i in range(200)]
+    domains = ["good"] * 360 + ["poor"] * 42 + ["toxic"] * 198
+    rows = [(i, " ".join(pick.choices(shared, k=70) + pick.choices([f"{d}{j}" for j in range(20)], k=30)), "en", "s", 0) for i, d in enumerate(domains)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, int(d != "poor"), int(d == "toxic")) for i, d in enumerate(domains)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    made = [r.doc_id for r in corpus_pipeline.mix_domains(spark, docs, str(tmp_path)).collect()]
+    assert {i for i, d in enumerate(domains) if d == "good"} <= set(made)
+    for domain, share in mixing.SHARES.items():
+        assert sum(domains[i] == domain for i in made) / len(made) == pytest.approx(share, abs=0.03)
+
+
 def test_run_and_empty_tables(spark, folder, tmp_path):
     assert corpus_pipeline.run(spark, folder).count() > 150
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
