@@ -11,6 +11,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from reportmill.llm.batches import order_id
 from reportmill.llm.quality import words_of
 from reportmill.session import scratch_dir
 
+_LOG = logging.getLogger(__name__)
+
 DOMAINS = ("good", "poor", "toxic")
 SHARES = {"good": 0.85, "poor": 0.10, "toxic": 0.05}
 TRAIN_ROWS = 10_000
@@ -27,7 +31,8 @@ SMOOTHING = 1.0
 SIGMAS = 5.0
 STEPS = 60
 RIDGE = 0.02
-CLOSE = 2e-5
+CLOSE = 1e-7
+STILL = 1e-12
 # Letters of the languages at hand; they would only tell languages apart.
 _LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZàâäáãçéèêëíîïñóôöõúûùüßÀÂÄÁÃÇÉÈÊËÍÎÏÑÓÔÖÕÚÛÙÜ"
 
@@ -127,17 +132,23 @@ def inverse(matrix: list[list[float]]) -> list[list[float]]:
 def rates(scores: DataFrame, targets: dict[str, float], steps: int = STEPS, least: Column | None = None) -> Column:
     """The rate of each row of ``scores`` (n_words, p_*): a column over them. ``targets`` are words for each domain.
 
-    No rate is below ``least`` (0 to 1; 0 if not given): each step is projected on it.
+    No rate is below ``least`` (0 to 1; 0 if not given): each step is projected on it. Steps end when all totals are CLOSE, or when
+    they move no more; a fit that ends elsewhere logs what it misses.
     """
     share, n = [F.col(f"p_{d}") for d in DOMAINS], F.col("n_words")
     second = scores.agg(*[F.coalesce(F.sum(n * a * b), F.lit(0.0)) for a in share for b in share]).first()
     weight = inverse([list(second[len(DOMAINS) * i : len(DOMAINS) * (i + 1)]) for i in range(len(DOMAINS))])
     rate, whole, least = F.lit(1.0), max(1.0, sum(targets.values())), F.lit(0.0) if least is None else least
-    for _ in range(steps):
+    before: list[float] | None = None
+    for step in range(steps + 1):
         totals = scores.agg(*[F.coalesce(F.sum(rate * n * p), F.lit(0.0)) for p in share]).first()
         over = [totals[i] - targets[d] for i, d in enumerate(DOMAINS)]
         if max(map(abs, over)) <= CLOSE * whole:
             break
+        if step == steps or (before and max(abs(a - b) for a, b in zip(over, before, strict=True)) <= STILL * whole):
+            _LOG.warning("mixing ends after %d steps with %s words over their targets %s", step, dict(zip(DOMAINS, over, strict=True)), targets)
+            break
+        before = over
         pull = [sum(w * o for w, o in zip(row, over, strict=True)) for row in weight]
         rate = F.greatest(least, rate - sum((p * x for p, x in zip(share[1:], pull[1:], strict=True)), share[0] * pull[0]))
     return rate

@@ -52,6 +52,22 @@ def rows_of(spark, n, p):
     return spark.createDataFrame([(int(w), *map(float, q)) for w, q in zip(n, p, strict=True)], "n_words long, p_good double, p_poor double, p_toxic double")
 
 
+def test_totals_meet_targets_to_the_word(spark, caplog):
+    rng = np.random.default_rng(3)
+    p, n = rng.dirichlet([0.5, 0.3, 0.2], 200), rng.integers(1, 500, 200)
+    target = np.array([0.6, 0.25, 0.15]) * n.sum()
+    rows = rows_of(spark, n, p)
+    got = np.array([r.r for r in rows.select(mixing.rates(rows, dict(zip(mixing.DOMAINS, target.tolist(), strict=True))).alias("r")).collect()])
+    assert np.abs((got * n) @ p - target).max() < 1e-6 * n.sum() and not caplog.records
+
+
+def test_targets_out_of_reach_are_told(spark, caplog):
+    p, n = np.full((20, 3), 1 / 3), np.full(20, 100)
+    rows = rows_of(spark, n, p)
+    rows.select(mixing.rates(rows, {"good": 1000.0, "poor": 500.0, "toxic": 500.0}).alias("r")).collect()
+    assert len(caplog.records) == 1 and "over their targets" in caplog.text
+
+
 def test_least_rates_are_part_of_the_fit(spark):
     rng = np.random.default_rng(5)
     p, n = rng.dirichlet([0.5, 0.3, 0.2], 200), rng.integers(1, 500, 200)
