@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from reportmill.llm import html_text, jaccard_join, line_dedup, mixing, near_vectors, pieces, quality, secrets, span_dedup, url_rules
+from reportmill.llm import html_text, jaccard_join, line_dedup, mixing, near_vectors, pieces, quality, secrets, span_dedup, top_products, url_rules
 
-_MODULES = (pieces, span_dedup, jaccard_join, near_vectors, html_text, url_rules, secrets, mixing, quality, line_dedup)
+_MODULES = (pieces, span_dedup, jaccard_join, near_vectors, html_text, url_rules, secrets, mixing, quality, line_dedup, top_products)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
