@@ -82,6 +82,6 @@ def test_small_and_odd_tables(spark):
     assert sorted(abs(r.whitened[0]) for r in rows.collect()) == pytest.approx([1.0, 1.0])
     wild = spark.createDataFrame([(i, [10.0 ** (3 * i), 1.0, float(i)]) for i in range(12)] + [(50, [1e90, 0.0, 0.0]), (51, [1e305, 0.0, 0.0])], frame.schema)
     assert {(r.deviation, r.n) for r in whitened_rows(wild).collect()} == {(None, 13)}
-    large = spark.createDataFrame([(i, [1e6 * i, 1.0]) for i in range(12)], frame.schema)  # deviations beyond doubles' integers
-    exact, _, _ = brute([(i, [1e6 * i, 1.0]) for i in range(12)])
+    large = spark.createDataFrame([(i, [1.5e4 * i, 1.0]) for i in range(12)], frame.schema)  # deviations beyond 2**53
+    exact, _, _ = brute([(i, [1.5e4 * i, 1.0]) for i in range(12)])
     assert [r.deviation for r in sorted(whitened_rows(large).collect())] == exact
