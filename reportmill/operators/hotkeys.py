@@ -29,16 +29,21 @@ def join_unique(
 ) -> DataFrame:
     """Inner join with a table that has one row per key.
 
-    ``weight`` says how many rows of ``big`` a key has. The heaviest keys are joined by
-    broadcast, so their rows stay where they are; only the others are shuffled. When ``rows``,
-    the size of ``big``, is known and below the threshold, no key can be hot.
+    ``weight`` says how many rows of ``big`` a key has. The rows of the heaviest keys are dealt over several tasks, one for
+    each ``hot_rows`` of them, and their row of ``small`` is sent to each. There is one join, so Spark may still broadcast a
+    ``small`` that is small, and partitions do not add up over repeated calls. When ``rows``, the size of ``big``, is known and
+    below the threshold, no key can be hot.
     """
     plain = small.drop(weight)
     if rows is not None and rows < hot_rows:
         return big.join(plain, on)
-    hot = small.filter(F.col(weight) >= hot_rows).orderBy(F.desc(weight), *on).limit(max_hot).drop(weight)
-    cold_rows = big.join(F.broadcast(hot.select(*on)), on, "left_anti")
-    return big.join(F.broadcast(hot), on).unionByName(cold_rows.join(plain, on))
+    hot = small.filter(F.col(weight) >= hot_rows).orderBy(F.desc(weight), *on).limit(max_hot)
+    hot = F.broadcast(hot.select(*on, F.ceil(F.col(weight) / hot_rows).cast("int").alias("_shares")))
+    share = F.pmod(F.xxhash64(*big.columns), F.col("_shares")).cast("int")
+    dealt = big.join(hot, on, "left").withColumn("_share", F.coalesce(share, F.lit(0))).drop("_shares")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("_shares", F.lit(1)) - 1))
+    sent = plain.join(hot, on, "left").withColumn("_share", copies).drop("_shares")
+    return dealt.join(sent, [*on, "_share"]).drop("_share")
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column], columns: list[str] | None = None) -> DataFrame:
