@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import timedelta
 
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from reportmill.catalog.texts import (
 from reportmill.config import CATEGORY_IDS, CITIES, CITY_IDS, GENERIC_OFFICE_WORDS, SOURCE_TYPES, STOP_NAMES
 from reportmill.functions.times import window_start
 from reportmill.functions.urls import canonical_url
+from reportmill.operators.duplicates import best_duplicates
 from reportmill.operators.eligibility import eligibility_stats, eligible
 from reportmill.operators.enrich import enrich_articles
 from reportmill.operators.events import assign_events
@@ -22,10 +24,12 @@ from reportmill.operators.police import locate_police_reports, map_police_rows,
 from reportmill.operators.sampling import sample_evenly, sample_with_refill
 from reportmill.operators.upsert import merge_counts, merge_reports, upsert
 from reportmill.plans.collect import collect
+from reportmill.plans.incremental import merge_into, read_store, report_store
 from reportmill.plans.ingest_rows import run_log_entry
 from reportmill.plans.merge_police import merge_police
 from reportmill.plans.reprocess import rederive, reprocess
 from reportmill.schemas import REPORT
+from reportmill.session import scratch_dir
 from reportmill.sources.gazetteer import build_gazetteer
 from reportmill.sources.tables import parse_police_lines
 
@@ -156,6 +160,29 @@ def report_events(spark, folder):
     return assign_events(B.reports(spark, folder)).select("id", "event_id")
 
 
+def _page_headlines(spark, folder):
+    """One headline for each page, worded like those of the reports."""
+    p, n = B.table(spark, folder, "pages"), F.col("page_id")
+    words = [B.pick([a for a, _ in B.ACTIONS], n * 7), F.lit(" near "), B.pick(B.PLACES, n), F.when(n % 3 != 0, F.concat(F.lit(" ward"), (n % 50).cast("string"))), F.when(n % 4 == 0, F.concat(F.lit(" beat"), (n % 40).cast("string")))]
+    return p.select(n, F.concat(*[F.coalesce(w, F.lit("")) for w in words]).alias("title"), F.timestamp_seconds(F.lit(1_704_067_200) + n % 30 * 86_400 + n % 24 * 3600).alias("published_at"))
+
+
+def duplicates_of_pages(spark, folder):
+    """The best duplicate of each page's headline among all reports."""
+    found = best_duplicates(_page_headlines(spark, folder), B.reports(spark, folder), "page_id")
+    return found.select("page_id", "duplicate", F.round("score", 6).alias("score"))
+
+
+_DUPLICATES_SQL = f"""WITH {B.REPORTS_SQL},
+  c AS MATERIALIZED (SELECT page_id, p, {tokens_sql('title')} AS t FROM (SELECT page_id, TIMESTAMP '2024-01-01' + to_days(CAST(page_id % 30 AS INTEGER)) + to_hours(CAST(page_id % 24 AS INTEGER)) AS p,
+    {B.pick_sql([a for a, _ in B.ACTIONS], 'page_id * 7')} || ' near ' || {B.pick_sql(B.PLACES, 'page_id')} || CASE WHEN page_id % 3 <> 0 THEN ' ward' || (page_id % 50) ELSE '' END
+      || CASE WHEN page_id % 4 = 0 THEN ' beat' || (page_id % 40) ELSE '' END AS title FROM pages)),
+  n AS MATERIALIZED (SELECT id, published_datetime AS p, {tokens_sql('title')} AS t FROM reports),
+  scored AS (SELECT page_id, id, n.p AS told, len(list_intersect(c.t, n.t)) AS shared, len(c.t) + len(n.t) AS total FROM c JOIN n ON n.p BETWEEN c.p - INTERVAL 2 DAY AND c.p + INTERVAL 2 DAY)
+  SELECT page_id, id AS duplicate, round(shared / (total - shared), 6) AS score FROM scored WHERE 2 * shared >= total - shared
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY shared / (total - shared) DESC, told, id) = 1"""
+
+
 def _lines(spark, folder):
     """Every line of every document as a headline."""
     d = B.spread(B.table(spark, folder, "documents"))
@@ -171,6 +198,37 @@ def line_events(spark, folder):
     return assign_events(_lines(spark, folder)).select("id", "event_id")
 
 
+def _headlines(spark, folder):
+    """One report for each document, headed by its first line; in the second round every tenth document by its last line."""
+    d = B.spread(B.table(spark, folder, "documents"))
+    n, lines = F.col("doc_id"), F.split("text", "\n")
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + n * 3600)
+    named = F.format_string("d%08d", n)
+    values = {
+        "id": named, "event_id": named, "city": F.col("lang"), "category": F.concat(F.lit("c"), (n % 6).cast("string")), "source_link": F.concat(F.lit("https://d.in/"), n.cast("string")),
+        "incident_datetime": at - F.make_dt_interval(days=(n % 5).cast("int")), "published_datetime": at, "police_station": F.when(n % 4 == 1, F.col("source")), "seq": n,
+    }
+    rows = d.filter("text IS NOT NULL").select("doc_id", lines.alias("lines"), *[v.alias(c) for c, v in values.items()])
+    again = rows.filter(n % 10 == 0).select("*", F.element_at("lines", -1).alias("title"), F.lit(2).alias("batch"))
+    rows = rows.select("*", F.col("lines")[0].alias("title"), (n % 2).cast("int").alias("batch")).unionByName(again)
+    kinds = dict(f.split() for f in REPORT.split(", "))
+    return rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast(k).alias(c) for c, k in kinds.items()], "seq", "batch")
+
+
+def incremental_reports(spark, folder):
+    """Reports merged in two batches, and then every tenth again under another title."""
+    store = report_store(spark, f"{scratch_dir(spark)}/batches-{uuid.uuid4().hex}")
+    fresh = _headlines(spark, folder).checkpoint()
+    for number in range(3):
+        merge_into(store, fresh.filter(F.col("batch") == number).drop("batch"))
+    return read_store(store).select("id", "event_id")
+
+
+_HEADLINES_SQL = """heads AS (SELECT format('d{:08d}', doc_id) AS id, lang AS city, CASE WHEN doc_id % 10 = 0 THEN string_split(text, chr(10))[-1] ELSE string_split(text, chr(10))[1] END AS title,
+    'c' || (doc_id % 6) AS category, CASE WHEN doc_id % 4 = 1 THEN source END AS police_station, TIMESTAMP '1970-01-01' + to_seconds(1700000000 + doc_id * 3600) AS published_datetime,
+    TIMESTAMP '1970-01-01' + to_seconds(1700000000 + doc_id * 3600) - to_days(CAST(doc_id % 5 AS INTEGER)) AS incident_datetime FROM documents WHERE text IS NOT NULL)"""
+
+
 _LINES_SQL = """lines AS (SELECT format('{:08d}-{:06d}', doc_id, pos - 1) AS id, lang AS city, line AS title, 'other' AS category, CAST(NULL AS VARCHAR) AS police_station,
     CAST(NULL AS TIMESTAMP) AS incident_datetime, TIMESTAMP '1970-01-01' + to_seconds(1700000000 + doc_id * 3600) AS published_datetime
   FROM (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents))"""
@@ -463,6 +521,8 @@ QUERIES = {
     "report_events": (report_events, events_sql(B.REPORTS_SQL, "reports")),
     "line_events": (line_events, events_sql(_LINES_SQL, "lines")),
     "merged_reports": (merged_reports, events_sql(_UPSERT_SQL, "merged")),
+    "incremental_reports": (incremental_reports, events_sql(_HEADLINES_SQL, "heads")),
+    "duplicates_of_pages": (duplicates_of_pages, _DUPLICATES_SQL),
     "police_rows": (police_rows, _POLICE_ROWS_SQL),
     "police_rejects": (police_rejects, f"WITH {_POLICE_SQL} SELECT reason, count(*) AS n FROM judged WHERE reason IS NOT NULL GROUP BY 1"),
     "police_located": (police_located, None),

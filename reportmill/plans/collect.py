@@ -41,7 +41,7 @@ def choose_article(picks: DataFrame, landed: DataFrame) -> DataFrame:
     return joined.withColumn("article", F.coalesce("article", "_page")).select(*picks.columns)
 
 
-def _outcomes(picks: DataFrame, landed: DataFrame, gazetteer: DataFrame, geocodes: DataFrame, cutoff: datetime) -> DataFrame:
+def outcomes(picks: DataFrame, landed: DataFrame, gazetteer: DataFrame, geocodes: DataFrame, cutoff: datetime) -> DataFrame:
     """(source, city, seq, outcome, report) of the picks."""
     base = choose_article(picks, landed).checkpoint()
     articles = base.filter(F.col("article").isNotNull()).select("source", "seq", "article.*", F.col("url").alias("_url"), F.col("city").alias("_city"))
@@ -79,7 +79,7 @@ def collect(
     pool = eligible(found, existing, cutoff, now).checkpoint()
     tried = sample_with_refill(
         pool, ["source", "city"], per_city, "published_at", "seq",
-        lambda picks: _outcomes(picks, landed, gazetteer, geocodes, cutoff),
+        lambda picks: outcomes(picks, landed, gazetteer, geocodes, cutoff),
     )
     fresh = tried.filter(F.col("outcome") == "stored").select("seq", "report.*")
     return Collected(merge_reports(existing, fresh), tried, collection_stats(found, pool, tried))

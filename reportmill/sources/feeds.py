@@ -76,6 +76,8 @@ class Source:
     city_pattern: str = ""
     path: str = ""
     article_mark: str = ""
+    # Pages of one list overlap: of several items with one address the first counts.
+    repeats: bool = False
 
     def city_of(self, url: Column, landed_city: Column) -> Column:
         if self.city_pattern:
@@ -137,15 +139,14 @@ def month_list(spark: SparkSession, since: datetime, until: datetime) -> DataFra
 
 
 def section_items(landed: DataFrame, source: Source) -> DataFrame:
-    """Items of paged section JSON; the first item of an address wins."""
+    """Items of paged section JSON."""
     rows = _items(_ok(landed, source.id, "section"), F.from_json("body", SECTION_PAGE)["items"])
     slug = F.col("item.slug")
     from_slug = F.when(F.coalesce(slug, F.lit("")) != "", F.concat(F.lit(source.base + "/"), F.regexp_replace(slug, "^/", "")))
     url = F.coalesce(F.col("item.url"), from_slug, F.lit(""))
     millis = F.col("item")["published-at"]
     published = F.when(millis != 0, F.timestamp_millis(millis))
-    found = _candidates(rows, url, F.col("item.headline"), published, F.lit(source.cities[0])).filter("url != ''")
-    return first_by(found, ["url"], [F.col("seq")]).select(*found.columns)
+    return _candidates(rows, url, F.col("item.headline"), published, F.lit(source.cities[0])).filter("url != ''")
 
 
 def wordpress_posts(landed: DataFrame, source: Source) -> DataFrame:
@@ -184,15 +185,27 @@ SOURCES = (
     Source("toi", "Times of India", ("delhi", "bengaluru", "goa"), _by_feed_or_sitemap,
            city_pattern=r"/city/(delhi|bengaluru|goa)/", article_mark="/articleshow/"),
     Source("ht", "Hindustan Times", ("delhi",), _by_feed_or_sitemap, path="/cities/delhi-news/"),
-    Source("dh", "Deccan Herald", ("bengaluru",), _by_section, base="https://www.deccanherald.com"),
+    Source("dh", "Deccan Herald", ("bengaluru",), _by_section, base="https://www.deccanherald.com", repeats=True),
     Source("goemkarponn", "Goemkarponn", ("goa",), _by_wordpress),
 )
 
 
-def discover(landed: DataFrame, mode: str, since: datetime, until: datetime, sources: tuple[Source, ...] = SOURCES) -> DataFrame:
-    """Candidates of all sources together. ``mode`` is 'live' (feeds) or 'backfill' (sitemaps)."""
+def items_of(landed: DataFrame, mode: str, since: datetime, until: datetime, sources: tuple[Source, ...] = SOURCES) -> DataFrame:
+    """Candidates of all sources, row by row, so ``landed`` may be a stream. ``mode`` is 'live' (feeds) or 'backfill' (sitemaps)."""
     parts = [s.discover(landed, s, mode, since, until) for s in sources]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+def first_items(found: DataFrame, sources: tuple[Source, ...] = SOURCES) -> DataFrame:
+    """Of the items with one address the first by ``seq``, for sources that repeat theirs."""
+    repeating = F.col("source").isin(*[s.id for s in sources if s.repeats])
+    firsts = first_by(found.filter(repeating), ["source", "url"], [F.col("seq")]).select(*found.columns)
+    return found.filter(~repeating).unionByName(firsts)
+
+
+def discover(landed: DataFrame, mode: str, since: datetime, until: datetime, sources: tuple[Source, ...] = SOURCES) -> DataFrame:
+    """Candidates of all sources together."""
+    return first_items(items_of(landed, mode, since, until, sources), sources)

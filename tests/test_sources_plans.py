@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from reportmill.operators.upsert import merge_counts, merge_reports
 from reportmill.plans import group_map, heatmap, meta, reports
+from reportmill.plans.incremental import read_store, report_store
 from reportmill.plans.params import Page, ReportFilter
 from reportmill.plans.reprocess import rederive
 from reportmill.schemas import GAZETTEER, GEOCODE, REPORT
@@ -182,5 +183,5 @@ def test_stream_merges_once(spark, tmp_path):
     gaz, geo = spark.createDataFrame([], GAZETTEER), spark.createDataFrame([], GEOCODE)
     for _ in range(2):
         police_to_table(spark, str(tmp_path / "in"), str(tmp_path / "t"), str(tmp_path / "state"), gaz, geo, clock=lambda: NOW).awaitTermination()
-    assert versions(spark, str(tmp_path / "t")) == [1]
-    assert [r.source_link for r in read_reports(spark, str(tmp_path / "t")).collect()] == ["https://p.in/a#1"]
+    assert report_store(spark, str(tmp_path / "t")).numbers() == [1]
+    assert [r.source_link for r in read_store(report_store(spark, str(tmp_path / "t"))).collect()] == ["https://p.in/a#1"]
