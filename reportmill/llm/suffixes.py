@@ -16,6 +16,7 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 _HEAD = 8
+_CHECKED = 1 << 20  # bytes that are verified together
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -147,11 +148,20 @@ def suffix_sort(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tu
     order = _merge_ties(text, order, starts, lengths, first, np.diff(np.append(first, len(order))))
     a, b = order[:-1], order[1:]
     common = np.concatenate([[0], text.common(starts[a], starts[b], np.minimum(lengths[a], lengths[b]))])
-    if (data[spread(starts[a], common[1:])] != data[spread(starts[b], common[1:])]).any():
+    if not _equal(data, starts[a], starts[b], common[1:]):
         return _plain_sort(data, starts, lengths)
     return order, common
 
 
+def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> bool:
+    """Whether substrings that start at ``a`` and ``b`` are equal, byte by byte; a bounded number of bytes is looked at together."""
+    step = np.cumsum(lengths) // _CHECKED
+    for part in np.split(np.arange(len(a)), np.flatnonzero(step[1:] != step[:-1]) + 1) if len(a) else ():
+        if (data[spread(a[part], lengths[part])] != data[spread(b[part], lengths[part])]).any():
+            return False
+    return True
+
+
 def _plain_sort(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     texts = [data[s : s + n].tobytes() for s, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
     order = sorted(range(len(texts)), key=texts.__getitem__)

@@ -79,6 +79,30 @@ def test_spans_equal_brute_force(spark, length, gram, words, chunk):
         assert (r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), bytes(r.kept)) == want, docs[r.n]
 
 
+@pytest.mark.parametrize("share", [1, 300, 1 << 18])
+def test_a_name_in_many_different_runs(spark, share):
+    """One phrase in 1,000 different surroundings, some of which repeat: its windows are dealt over many buckets."""
+    pick = random.Random(8)
+    word = lambda: "".join(pick.choices("abcdefgh", k=6))
+    phrase, after = "the quite common phrase of thirty", [word() + word() + word() for _ in range(30)]
+    docs = [(i, f"{word()} {word()} {phrase} {pick.choice(after)} {word()}") for i in range(1000)]
+    docs += [(2000 + i, docs[i * 7][1][5:]) for i in range(40)] + [(3000, (phrase + " ") * 60)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r for r in span_dedup(frame, 50, 24, 4000, share).collect()}
+    for (i, _), want in zip(docs, brute(docs, 50), strict=True):
+        r = got[i]
+        assert (r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), bytes(r.kept)) == want, i
+
+
+def test_bytes_are_verified_in_steps(monkeypatch):
+    monkeypatch.setattr(suffixes, "_CHECKED", 64)
+    data = np.frombuffer(b"abcabcabd" * 90, np.uint8)
+    starts = np.arange(len(data))
+    order, common = suffixes.suffix_sort(data, starts, len(data) - starts)
+    want, want_common = suffixes._plain_sort(data, starts, len(data) - starts)
+    assert order.tolist() == want.tolist() and common.tolist() == want_common.tolist()
+
+
 def test_empty_table(spark):
     assert span_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
