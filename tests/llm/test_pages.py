@@ -39,6 +39,41 @@ def test_text_beside_an_article_is_judged_by_its_own_weight():
     assert main_text(f"<div>{lead}</div>{article}<div>Tags</div><div><a href=x>{lead}</a></div>") == f"{lead}\nT\n" + ("long words " * 20).strip()
 
 
+STORY = "".join(f"<p>Sentence number {i} of the story tells a thing or two about it.</p>" for i in range(5))
+TOLD = "\n".join(f"Sentence number {i} of the story tells a thing or two about it." for i in range(5))
+
+
+def test_wrappers_named_after_side_matter_are_opened():
+    for name in ("content has-sidebar", "social-layout", "notice-page", "search-results", "related-work"):
+        assert main_text(f'<body><nav>Home</nav><div class="{name}">{STORY}</div></body>') == TOLD
+    inner = f'<div class="cookie-notice">We use cookies here, as every site does.</div><div class="promo-story">{STORY}</div>'
+    assert main_text(f'<body><div class="social-layout">{inner}</div></body>') == TOLD
+    # Where there is text of its own, side matter stays out, however long.
+    assert main_text(f'<body>{STORY}<div class="comments"><p>{"reader talk " * 200}</p></div></body>') == TOLD
+    assert main_text(f'<body><div class="ad">{"buy this " * 30}</div><article><p>Short.</p></article></body>') == "Short."
+
+
+def test_an_element_without_its_end_ends_with_its_parent():
+    page = f'<article>{STORY}<p class="share">Share this<p>The last words of the story come after it.</article><div class="ad">Buy'
+    assert main_text(page) == TOLD + "\nThe last words of the story come after it."
+    assert main_text(f"<body><div><form><label>Name</div>{STORY}</body>") == TOLD
+    assert main_text(f'<body><ul><li class="share">Share<li>{TOLD.splitlines()[0]}</ul></body>') == TOLD.splitlines()[0]
+
+
+def test_pages_without_marks_give_the_same_text(spark):
+    """Without article, main and all classes, the windows alone find at least 95 per cent of the text."""
+    total = found = 0
+    for row in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        bare = re.sub(r"</?(article|main)[^>]*>", "", re.sub(r"""\s(class|id|role)=("[^"]*"|'[^']*'|[^\s>]+)""", "", row.html))
+        left = main_text(bare).split("\n")
+        for line in main_text(row.html).split("\n"):
+            total += len(line)
+            if line in left:
+                left.remove(line)
+                found += len(line)
+    assert found >= 0.95 * total
+
+
 def test_odd_pages():
     assert [main_text(x) for x in (None, "", "<", "<article>", "<script>" * 3, "<!-- open")] == [""] * 6
     assert main_text("<article>" + "<" * 20000 + "</article>") == "<" * 20000
