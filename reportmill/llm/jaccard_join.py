@@ -295,10 +295,15 @@ def near_duplicates(docs: DataFrame, least: int = LEAST, cell_nodes: int = CELL_
 def one_of_each(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the row of its least document stays, unchanged.
 
-    Of rows that share that document's id and text, all stay.
+    Of rows that share that document's id and text, or lack an id and share a text, one stays: which, is open where other columns differ.
     """
-    copies = near_duplicates(docs, least).filter("name != component").select(F.col("name").alias("_copy")).distinct()
-    return docs.join(copies, _name() == F.col("_copy"), "left_anti")
+    found = near_duplicates(docs, least).select("name", "component").checkpoint()
+    copies = found.filter("name != component").select(F.col("name").alias("_copy")).distinct()
+    several = found.groupBy(F.col("name").alias("_copy")).agg(F.count("*").alias("n")).filter("n > 1").select("_copy")
+    kept = docs.join(copies, _name() == F.col("_copy"), "left_anti")
+    alone = kept.join(several, _name() == F.col("_copy"), "left_anti")
+    repeated = kept.join(several, _name() == F.col("_copy"), "left_semi").withColumns({"_name": _name(), "_digest": F.sha2("text", 256)})
+    return alone.unionByName(repeated.dropDuplicates(["_name", "_digest"]).drop("_name", "_digest"))
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
