@@ -1,7 +1,7 @@
 """The corpus pipeline: quality rules, line dedup, near-duplicate join, source mixing, token encoding.
 
-Each stage reads all that the one before kept and returns the columns of documents; the last returns the encoded corpus. Documents
-that lose all their text to line dedup stay, with an empty text.
+Each stage reads all that the one before kept and returns the columns of documents; the last returns the encoded corpus. A document
+whose every line an earlier one has goes with its lines.
 """
 
 from __future__ import annotations
@@ -23,9 +23,9 @@ def keep_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_repeated_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that an earlier one has; n_chars follows the text."""
-    cut = line_dedup.line_dedup(docs).withColumn("n_chars", F.length("text").cast("long"))
-    return cut.select(*docs.columns)
+    """Documents without lines that an earlier one has; n_chars follows the text. Documents left without a word are dropped."""
+    cut = line_dedup.line_dedup(docs).filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def keep_one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
