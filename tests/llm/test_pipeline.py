@@ -55,11 +55,12 @@ def test_stages(spark, folder, tmp_path):
         for line in set(r.text.split("\n")):
             first.setdefault(line.strip().lower(), r.doc_id)
     want = {r.doc_id: "\n".join(x for x in r.text.split("\n") if len(x.strip()) < 10 or first[x.strip().lower()] == r.doc_id) for r in kept}
-    assert {r.doc_id: r.text for r in cut} == want and all(r.n_chars == len(r.text) for r in cut)
+    emptied = {i for i, text in want.items() if not text.strip()}
+    assert {r.doc_id: r.text for r in cut} == {i: text for i, text in want.items() if i not in emptied} and all(r.n_chars == len(r.text) for r in cut)
 
     pairs = [(r.doc_id, r.text) for r in cut]
     components = {name: c for (name, _), (_, c) in zip(pairs, brute_components(pairs), strict=True)}
-    assert {r.doc_id for r in single} == {n for n, c in components.items() if n == c}
+    assert sorted(r.doc_id for r in single) == sorted(n for n, c in components.items() if n == c)
 
     clean = {r.doc_id for r in single if "idiot" not in r.text and r.text}
     assert clean <= {r.doc_id for r in mixed} and {r.doc_id for r in mixed} <= {r.doc_id for r in single}
@@ -89,6 +90,16 @@ def test_mixing_meets_shares_of_a_corpus_with_other_ones(spark, tmp_path):
         assert sum(domains[i] == domain for i in made) / len(made) == pytest.approx(share, abs=0.03)
 
 
+def test_emptied_documents_and_repeated_rows(spark):
+    text, other = "a line of more than ten characters\nand one more of them", "a text of its own that nobody else has"
+    rows = [(1, text), (2, text), (3, f"{text}\n"), (4, other), (4, other), (None, "words without an id, " * 3), (None, "words without an id, " * 3), (5, None), (6, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    cut = corpus_pipeline.cut_repeated_lines(spark, docs, "").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in cut) == sorted([(0, rows[5][1])] * 2 + [(1, text), (4, other), (4, other)])
+    single = corpus_pipeline.keep_one_of_each(spark, docs, "").collect()
+    assert sorted(r.doc_id or 0 for r in single) == [0, 1, 4, 5, 6]
+
+
 def test_run_and_empty_tables(spark, folder, tmp_path):
     assert corpus_pipeline.run(spark, folder).count() > 150
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
