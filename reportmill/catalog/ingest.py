@@ -31,6 +31,7 @@ from reportmill.plans.reprocess import rederive, reprocess
 from reportmill.schemas import REPORT
 from reportmill.session import scratch_dir
 from reportmill.sources.gazetteer import build_gazetteer
+from reportmill.sources.geocode_store import GeocodeStore
 from reportmill.sources.tables import parse_police_lines
 
 CUTOFF = window_start(B.NOW)
@@ -414,6 +415,29 @@ def unresolved_places(spark, folder):
     return geocode_misses(resolve_locations(B.place_texts(spark, folder), gazetteer, geocodes, "doc_id"))
 
 
+def stored_geocodes(spark, folder):
+    """Geocode answers in three batches, folded after the second, then looked up for all suppliers and customers.
+
+    Answers whose key ends in an odd digit come late; those that end in 0 are corrected; a third of the customers are known misses.
+    """
+    store = GeocodeStore(spark, f"{scratch_dir(spark)}/geocodes-{uuid.uuid4().hex}", 8)
+    answers, last = B.geocodes(spark, folder).checkpoint(), F.substring("key", -1, 1)
+    late = last.isin("1", "3", "5", "7", "9")
+    store.add(answers.filter(~late))
+    store.add(answers.filter(late | (last == "0")).withColumn("lat", F.when(last == "0", F.col("lat") + 1).otherwise(F.col("lat"))))
+    store.fold()
+    names = B.table(spark, folder, "customer").select(F.concat(F.lit("goa|"), F.lower("c_name")).alias("key"), "c_custkey")
+    none = F.lit(None)
+    store.add(names.filter("c_custkey % 3 = 0").select("key", none.cast("double").alias("lat"), none.cast("double").alias("lng"), none.cast("string").alias("display_name")))
+    found = store.lookup(answers.select("key").unionByName(names.select("key")))
+    return found.select("key", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"), "known")
+
+
+_STORED_GEOCODES_SQL = f"""WITH {B.GEOCODES_SQL}
+SELECT key, round(CASE WHEN right(key, 1) = '0' THEN lat + 1 ELSE lat END, 6) AS lat, round(lng, 6) AS lng, true AS known FROM geocodes
+UNION ALL SELECT 'goa|' || lower(c_name), NULL, NULL, c_custkey % 3 = 0 FROM customer"""
+
+
 def built_gazetteer(spark, folder):
     """Map elements of every part, some without names, some with marks, most twice."""
     p = B.table(spark, folder, "part")
@@ -532,6 +556,7 @@ QUERIES = {
     "place_matches": (place_matches, _MATCHES_SQL),
     "resolved_places": (resolved_places, _resolved_sql()),
     "unresolved_places": (unresolved_places, f"SELECT DISTINCT unnest(string_split(unresolved, ',')) AS key FROM ({_resolved_sql()}) WHERE unresolved <> ''"),
+    "stored_geocodes": (stored_geocodes, _STORED_GEOCODES_SQL),
     "built_gazetteer": (built_gazetteer, _BUILT_SQL),
     "enriched_reports": (enriched_reports, _ENRICH_SQL),
     "rederived_reports": (rederived_reports, _REDERIVE_SQL),
