@@ -33,6 +33,34 @@ WORDPRESS = (
 )
 
 
+_CHUNK_NAME = r"(\d{4})-([A-Za-z]+)-\d+\.xml\z"
+_ANY_MONTH = "any"
+
+
+def _chunk_month(url: Column) -> tuple[Column, Column]:
+    """(year, number of the month) in the name of a sitemap chunk, '…YYYY-Month-n.xml'; month 0 where there is none."""
+    year = F.regexp_extract(url, _CHUNK_NAME, 1).try_cast("int")
+    return year, F.array_position(F.array(*map(F.lit, LONG_MONTHS)), F.lower(F.regexp_extract(url, _CHUNK_NAME, 2))).cast("int")
+
+
+def land(payloads: DataFrame, folder: str) -> None:
+    """Adds payloads to a folder laid out by source, format and month of their sitemap chunk, as JSON lines.
+
+    ``discover`` over that folder opens only the files of the formats its mode reads and, in a backfill, of months in its range.
+    """
+    year, month = _chunk_month(F.col("url"))
+    named = F.when(month > 0, F.format_string("%04d-%02d", year, month)).otherwise(F.lit(_ANY_MONTH))
+    payloads.withColumn("month", named).write.mode("append").partitionBy("source", "format", "month").json(folder)
+
+
+def _in_months(landed: DataFrame, since: datetime, until: datetime) -> DataFrame:
+    """Payloads of a landed folder whose month overlaps the range; others have no ``month`` and all stay."""
+    if "month" not in landed.columns:
+        return landed
+    month = F.col("month")
+    return landed.filter((month == _ANY_MONTH) | month.between(f"{since:%Y-%m}", f"{until:%Y-%m}"))
+
+
 def _ok(landed: DataFrame, source: str, kind: str) -> DataFrame:
     return landed.filter((F.col("source") == source) & (F.col("format") == kind) & (F.col("status") == 200))
 
@@ -107,10 +135,8 @@ def sitemap_chunks(landed: DataFrame, source: Source, since: datetime, until: da
     """(source, loc) of sitemap chunks whose month in '…YYYY-Month-n.xml' overlaps the range: prunes what is read."""
     rows = _items(_ok(landed, source.id, "sitemap_index"), _xml(F.col("body"), SITEMAP_INDEX)["sitemap"])
     loc = trimmed(F.col("item.loc"))
-    pattern = r"(\d{4})-([A-Za-z]+)-\d+\.xml\z"
-    year = F.regexp_extract(loc, pattern, 1).try_cast("int")
-    month = F.array_position(F.array(*map(F.lit, LONG_MONTHS)), F.lower(F.regexp_extract(loc, pattern, 2)))
-    months = rows.select("source", "seq", loc.alias("loc"), year.alias("y"), month.cast("int").alias("m")).filter("m > 0")
+    year, month = _chunk_month(loc)
+    months = rows.select("source", "seq", loc.alias("loc"), year.alias("y"), month.alias("m")).filter("m > 0")
     start = F.timestamp_seconds(day_number(F.col("y"), F.col("m"), F.lit(1)) * 86_400)
     next_y, next_m = F.when(F.col("m") == 12, F.col("y") + 1).otherwise(F.col("y")), F.when(F.col("m") == 12, 1).otherwise(F.col("m") + 1)
     end = F.timestamp_seconds(day_number(next_y, next_m, F.lit(1)) * 86_400)
@@ -119,7 +145,7 @@ def sitemap_chunks(landed: DataFrame, source: Source, since: datetime, until: da
 
 def sitemap_links(landed: DataFrame, source: Source, since: datetime, until: datetime) -> DataFrame:
     """Links of sitemap chunks; the headline comes from the address."""
-    rows = _items(_ok(landed, source.id, "sitemap"), _xml(F.col("body"), SITEMAP)["url"])
+    rows = _items(_ok(_in_months(landed, since, until), source.id, "sitemap"), _xml(F.col("body"), SITEMAP)["url"])
     url = trimmed(F.col("item.loc"))
     city = source.city_of(url, F.col("_city"))
     kept = rows.filter(city.isNotNull() & source.wanted(url))

@@ -28,11 +28,11 @@ _EVER = datetime(9999, 1, 1, tzinfo=timezone.utc)
 
 
 def payloads(spark: SparkSession, path: str, stream: bool = False, files_per_trigger: int | None = None) -> DataFrame:
-    """Landed payloads of a folder of JSON lines: what lies there, or what comes in, a bounded number of files at a time."""
+    """Payloads that ``feeds.land`` put into a folder: what lies there, or what comes in, a bounded number of files at a time."""
     reader = spark.readStream if stream else spark.read
     if stream and files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.schema(LANDED).json(path)
+    return reader.schema(LANDED + ", month string").json(path)
 
 
 def recent_links(rows: DataFrame, delay: str, time: str = "published_at", keys: tuple[str, ...] = ("source", "url")) -> DataFrame:

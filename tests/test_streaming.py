@@ -30,7 +30,7 @@ def page(n):
 
 
 def land(spark, folder, *rows):
-    spark.createDataFrame(list(rows), LANDED).coalesce(1).write.mode("append").json(folder)
+    feeds.land(spark.createDataFrame(list(rows), LANDED).coalesce(1), folder)
 
 
 @pytest.fixture
@@ -103,3 +103,26 @@ def test_the_upper_end_of_a_stream_moves_with_the_clock(spark, tmp_path, world):
         # Story 6 lies in the future of the first run.
         assert len(shown(read_store(report_store(spark, root)))) == number + 1
     assert read_store(report_store(spark, root)).filter(F.col("source_link").contains("theft-6")).count() == 1
+
+
+def files_opened(frame):
+    """Files that the scans of a frame opened."""
+    frame.collect()
+    return sum(leaf.metrics().apply("numFiles").value() for leaf in (lambda s: [s.apply(i) for i in range(s.length())])(frame._jdf.queryExecution().executedPlan().collectLeaves()))
+
+
+def test_only_payloads_of_the_mode_and_its_months_are_opened(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    urls = lambda m: "".join(f"<url><loc>https://t.in/city/goa/theft-{m}-{i}/articleshow/{m}{i}.cms</loc><lastmod>2026-{m:02d}-0{i + 1}T00:00:00Z</lastmod></url>" for i in range(3))
+    names = ["january", "march", "may", "july", "september"]
+    chunks = [("toi", f"https://t.in/2026-{n}-{i}.xml", None, 200, "sitemap", f"<urlset>{urls(2 * i + 1)}</urlset>", i) for i, n in enumerate(names)]
+    land(spark, folder, *chunks, feed(9, [(1, 1)]), ("toi", "https://t.in/news.xml", None, 200, "sitemap", f"<urlset>{urls(5)}</urlset>", 20))
+    since, until = datetime(2026, 5, 1, tzinfo=timezone.utc), datetime(2026, 7, 2, tzinfo=timezone.utc)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        toi = feeds.SOURCES[:1]
+        back = feeds.items_of(payloads(spark, folder), "backfill", since, until, toi)
+        assert files_opened(back) == 3 and back.count() == 3 + 2 + 3  # May, July and the chunk that names no month
+        assert files_opened(feeds.items_of(payloads(spark, folder), "live", since, NOW, feeds.SOURCES[1:2])) == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
