@@ -126,7 +126,7 @@ def search_bucket(own: np.ndarray, queries: np.ndarray, theta: np.ndarray, ids:
     size, bucket = lengths(queries), Bucket(ids, rows)
     reach, by_length = size * bucket.size[0], []
     for i in np.flatnonzero(exact & (reach * (1 + _SLACK) >= theta)).tolist():
-        found = bucket.candidates(queries[i] / size[i], min(1.0, theta[i] / reach[i]), theta[i] / size[i]) if theta[i] > 0 else None
+        found = bucket.candidates(queries[i] / size[i], min(1.0, theta[i] / reach[i]) * (1 - _SLACK), theta[i] / size[i]) if theta[i] > 0 else None
         if found is None:
             by_length.append(i)
             continue

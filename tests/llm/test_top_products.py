@@ -38,6 +38,19 @@ def test_bucket_with_thresholds_equals_all_products(dim, spread):
             assert sorted((-s, i) for n, i, s in got if n == q and s >= theta[q]) == want
 
 
+def test_vectors_that_are_nearly_parallel():
+    """Long integer vectors one step apart: cosines round to one, and none may be lost."""
+    rng = np.random.default_rng(4)
+    base = np.floor(rng.normal(size=3) * 2**24)
+    v = np.vstack([base + rng.integers(-1, 2, 3) for _ in range(30)] + [np.floor(rng.normal(size=(300, 3)) * 2**20)])
+    ids, own, queries = np.arange(330), np.full(1, -1), v[:1]
+    scores = v @ v[0]
+    for k in (1, 3, 8):
+        theta = np.sort(scores)[-k : len(scores)][:1]
+        got = search_bucket(own, queries, theta, ids, v, k)
+        assert sorted((-s, i) for _, i, s in got) == sorted((-int(s), i) for s, i in zip(scores, ids.tolist()))[:k]
+
+
 def test_coordinate_pruning_leaves_few_candidates():
     v = clustered(5, 3000, 16).astype(np.float64)
     bucket = Bucket(np.arange(3000), v)
