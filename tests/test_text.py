@@ -146,6 +146,8 @@ def test_ends_are_trimmed_and_words_start_as_by_the_plain_patterns(spark):
     odd = " \t\n\x0b\f\r\u00a0\u1680\u2000\u2005\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
     texts = [odd, f"{odd}a{odd}b{odd}", "", None, "\u200bx\u200b", "\x1cx\x85", "xH.No. 5, h no 7 éh. no. 8 _h no 9 -H NO 10", "raged about five aged about five",
              "s/o X. ws/o Y, éw/o Z; S/O q", "9-year-old a9-year-old Ten-year-old often-year-old éten-year-old", "in Goa Fort, pin Goa xat Old Fort énear Hill Top", "p. s. x ps thana chaps éps"]
+    texts += [f"{w} Old Fort" for w in ("in", "at", "near", "from", "of")] + [f"{w}-year-old" for w in T._NUMBER_WORD.replace("(?:\\d+|", "").split(")")[0].split("|")]
+    texts += ["H/o House no 7 h no 8", "d/o A w/o B r/o C", "on 5th May on May 5", "Night of 4/5 May at 11.30 pm", "police post police chowki police station"]
     spaces = patterns._SPACES
     plain_trim = F.regexp_replace("t", f"^[{spaces}]+|[{spaces}]+\\z", "")
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
