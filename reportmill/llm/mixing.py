@@ -6,7 +6,7 @@
    projected gradient runs from rate 1 in the metric of words, so that equal posteriors get equal rates; residuals are weighted by
    the inverse of the domains' second moments, raised by RIDGE so that domains which the posteriors hardly tell apart do not
    push rates to extremes. With this weight 1 is a safe step. A step needs one sum for each domain; the rates of
-   all steps so far are one column expression, so no rates are stored or moved.
+   up to CUT steps are one column expression over rates that are stored, so plans stay short.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ FEATURES = 50_000
 SMOOTHING = 1.0
 SIGMAS = 5.0
 STEPS = 60
+# Steps after which rates are stored; a plan over more of them grows with every step, on the driver too.
+CUT = 10
 RIDGE = 0.02
 CLOSE = 1e-7
 STILL = 1e-12
@@ -135,13 +137,17 @@ def rates(scores: DataFrame, targets: dict[str, float], steps: int = STEPS, leas
     No rate is below ``least`` (0 to 1; 0 if not given): each step is projected on it. Steps end when all totals are CLOSE, or when
     they move no more; a fit that ends elsewhere logs what it misses.
     """
+    scratch_dir(scores.sparkSession)
     share, n = [F.col(f"p_{d}") for d in DOMAINS], F.col("n_words")
-    second = scores.agg(*[F.coalesce(F.sum(n * a * b), F.lit(0.0)) for a in share for b in share]).first()
+    least = F.lit(0.0) if least is None else least
+    second = scores.agg(*[F.coalesce(F.sum(n * a * b), F.lit(0.0)).alias(f"m{i}{j}") for i, a in enumerate(share) for j, b in enumerate(share)]).first()
     weight = inverse([list(second[len(DOMAINS) * i : len(DOMAINS) * (i + 1)]) for i in range(len(DOMAINS))])
-    rate, whole, least = F.lit(1.0), max(1.0, sum(targets.values())), F.lit(0.0) if least is None else least
+    rate, whole = F.lit(1.0), max(1.0, sum(targets.values()))
+    # ``recent`` is the rate over ``held``, ``rate`` the same over the caller's rows.
+    held, recent = scores, rate
     before: list[float] | None = None
     for step in range(steps + 1):
-        totals = scores.agg(*[F.coalesce(F.sum(rate * n * p), F.lit(0.0)) for p in share]).first()
+        totals = held.agg(*[F.coalesce(F.sum(recent * n * p), F.lit(0.0)).alias(d) for d, p in zip(DOMAINS, share, strict=True)]).first()
         over = [totals[i] - targets[d] for i, d in enumerate(DOMAINS)]
         if max(map(abs, over)) <= CLOSE * whole:
             break
@@ -150,7 +156,14 @@ def rates(scores: DataFrame, targets: dict[str, float], steps: int = STEPS, leas
             break
         before = over
         pull = [sum(w * o for w, o in zip(row, over, strict=True)) for row in weight]
-        rate = F.greatest(least, rate - sum((p * x for p, x in zip(share[1:], pull[1:], strict=True)), share[0] * pull[0]))
+        back = sum((p * x for p, x in zip(share[1:], pull[1:], strict=True)), share[0] * pull[0])
+        rate = F.greatest(least, rate - back)
+        if step % CUT == CUT - 1:
+            floor = least if held is scores else F.col("_least")
+            held = held.select("n_words", *[f"p_{d}" for d in DOMAINS], floor.alias("_least"), F.greatest(floor, recent - back).alias("_rate")).checkpoint()
+            recent = F.col("_rate")
+        else:
+            recent = F.greatest(least if held is scores else F.col("_least"), recent - back)
     return rate
 
 
