@@ -92,3 +92,12 @@ def test_odd_input(spark):
     twice = mixing.repeat_by_rate(docs, mixing.mixed(docs, labels).withColumn("rate", F.lit(2.0)))
     assert twice.columns == docs.columns and twice.count() == 12
     assert mixing.repeat_by_rate(docs, mixing.mixed(docs, labels).withColumn("rate", F.lit(0.0))).count() == 0
+
+
+def test_plans_of_steps_stay_short(spark, monkeypatch):
+    """Each step's plan held the rates of all steps before, which took the driver's memory; at most CUT steps are in one plan now."""
+    rows = spark.createDataFrame([(i, 20 + i % 7, 0.9, 0.06 + i % 5 / 100) for i in range(60)], "doc_id long, n_words long, p_good double, p_poor double").withColumn("p_toxic", 1 - F.col("p_good") - F.col("p_poor"))
+    seen, plain = [], type(rows).agg
+    monkeypatch.setattr(type(rows), "agg", lambda self, *c: seen.append(max(str(x).lower().count("greatest(") for x in c)) or plain(self, *c))
+    mixing.rates(rows, {"good": 900.0, "poor": 700.0, "toxic": 100.0}, least=F.when(F.col("p_good") >= 0.5, 1.0).otherwise(0.0))
+    assert len(seen) > 3 * mixing.CUT and 1 < max(seen) <= mixing.CUT
