@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from reportmill.llm.suffixes import spread
+
 _POINT = 1e-7  # below this radius rounding hides distances, and members count as one place
 _CELLS = 1 << 21  # distances that one step of the traversal holds
 _ROWS = 128
@@ -32,6 +34,13 @@ class Tree:
                     scale /= 2
                 open_.extend((child, scale / 2) for child in self._split(node, scale))
         self.centre, self.begin, self.end, self.radius = map(np.array, (self.centre, self.begin, self.end, self.radius))
+        self.split = np.array([len(x) > 0 for x in self.children])
+        self.first = np.array([x[0] if len(x) else i for i, x in enumerate(self.children)])
+        self.below_it = np.array([max(1, len(x)) for x in self.children])
+
+    def below(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(children, the node of each); a node without children stands for itself."""
+        return spread(self.first[nodes], self.below_it[nodes]), np.repeat(nodes, self.below_it[nodes])
 
     def _split(self, node: int, scale: float) -> list[int]:
         """Children of a node: greedily, the next member that is not covered becomes a centre. Distances are taken many rows at a time."""
@@ -122,39 +131,46 @@ def threshold_links(vectors: np.ndarray, weights: np.ndarray, least: float, spli
 
     if split is None:
         left = right = Tree(unit)
-        shift, stack = 0, [(0, 0)]
+        shift, stack = 0, [(np.zeros(1, np.int64), np.zeros(1, np.int64))]
     else:
-        left, right, shift, stack = Tree(unit[:split]), Tree(unit[split:]), split, [(0, 0)]
+        left, right, shift, stack = Tree(unit[:split]), Tree(unit[split:]), split, [(np.zeros(1, np.int64), np.zeros(1, np.int64))]
         if not split or split == len(vectors):
             stack = []
 
     def members(tree: Tree, node: int, by: int) -> np.ndarray:
         return tree.order[tree.begin[node] : tree.end[node]] + by
 
+    def open_pairs(x: np.ndarray, y: np.ndarray) -> None:
+        """Settles pairs of nodes without children; the others go on, those of one node together, so that a step compares many."""
+        ends = ~left.split[x] & ~right.split[y]
+        for p, q in zip(x[ends].tolist(), y[ends].tolist(), strict=True):
+            # Single vectors, or vectors at one place.
+            a, b = members(left, p, 0), members(right, q, shift)
+            step = max(1, _CELLS // (len(b) * 64))
+            for i in range(0, len(a), step):
+                one, two = np.repeat(a[i : i + step], len(b)), np.tile(b, len(a[i : i + step]))
+                settle(*((one[one < two], two[one < two]) if split is None and p == q else (one, two)))
+        x, y = x[~ends], y[~ends]
+        by_left = len(np.unique(x)) <= len(np.unique(y))
+        held, others = (x, y) if by_left else (y, x)
+        order = np.argsort(held, kind="stable")
+        nodes, first = np.unique(held[order], return_index=True)
+        for node, some in zip(nodes, np.split(others[order], first[1:]), strict=False):
+            stack.append((np.array([node]), some) if by_left else (some, np.array([node])))
+
     while stack:
         a, b = stack.pop()
-        same = split is None and a == b
-        mine = left.children[a] if len(left.children[a]) else np.array([a])
-        theirs = right.children[b] if len(right.children[b]) else np.array([b])
-        if same and 2 * left.radius[a] < reach - _POINT:
-            links.within(members(left, a, 0))
-            continue
-        if len(mine) == 1 and mine[0] == a and len(theirs) == 1 and theirs[0] == b:
-            # Two nodes without children: single vectors, or vectors at one place.
-            x, y = members(left, a, 0), members(right, b, shift)
-            step = max(1, _CELLS // (len(y) * 64))
-            for i in range(0, len(x), step):
-                p, q = np.repeat(x[i : i + step], len(y)), np.tile(y, len(x[i : i + step]))
-                settle(*((p[p < q], q[p < q]) if same else (p, q)))
-            continue
+        mine, of_mine = left.below(a)
+        theirs, of_theirs = right.below(b)
         step = max(1, _CELLS // len(theirs))
         for i in range(0, len(mine), step):
-            rows = mine[i : i + step]
+            rows, of_rows = mine[i : i + step], of_mine[i : i + step]
             apart = _distance(left.points[left.centre[rows]] @ right.points[right.centre[theirs]].T)
             both = left.radius[rows][:, None] + right.radius[theirs][None, :]
             open_ = apart <= both + reach + _POINT
-            if same:
-                open_ &= rows[:, None] <= theirs[None, :]
+            if split is None:
+                # Of a node with itself each pair of children counts once.
+                open_ &= (of_rows[:, None] != of_theirs[None, :]) | (rows[:, None] <= theirs[None, :])
             x, y = np.nonzero(open_)
             sure = apart[x, y] + both[x, y] < reach - _POINT
             x, y = rows[x], theirs[y]
@@ -162,9 +178,12 @@ def threshold_links(vectors: np.ndarray, weights: np.ndarray, least: float, spli
             twins = (x == y) if split is None else np.zeros(len(x), bool)
             alone = single & ~twins
             settle(left.order[left.begin[x[alone]]], right.order[right.begin[y[alone]]] + shift)
-            for p, q, whole in zip(x[~single].tolist(), y[~single].tolist(), (sure & ~twins)[~single].tolist(), strict=True):
-                if whole:
-                    links.all_of(members(left, p, 0), members(right, q, shift))
-                else:
-                    stack.append((p, q))
+            dense = twins & ~single & (2 * left.radius[x] < reach - _POINT)
+            for p in x[dense].tolist():
+                links.within(members(left, p, 0))
+            whole = sure & ~twins & ~single
+            for p, q in zip(x[whole].tolist(), y[whole].tolist(), strict=True):
+                links.all_of(members(left, p, 0), members(right, q, shift))
+            left_open = ~single & ~dense & ~whole
+            open_pairs(x[left_open], y[left_open])
     return links.count, np.array([links.find(i) for i in range(len(vectors))], np.int64)

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from reportmill.llm import cover_tree
 from reportmill.llm.cover_tree import Tree, threshold_links
 from reportmill.llm.near_vectors import near_vectors
 
@@ -52,6 +53,19 @@ def test_links_equal_brute_force(spread, dim):
         assert (count == want).all() and (root == want_root).all()
 
 
+@pytest.mark.parametrize("split", [None, 512])
+def test_traversal_takes_many_pairs_a_step(monkeypatch, split):
+    """Wide families prune little; pairs of one node go on together, so steps grow with nodes, not with their pairs."""
+    vectors = groups(3, 1024, 64, 0.9)
+    vectors[::8] = vectors[1::8] + 0.05 * np.random.default_rng(5).normal(size=(128, 64))
+    steps, distance = [], cover_tree._distance
+    monkeypatch.setattr(cover_tree, "_distance", lambda cosine: steps.append(cosine.ndim == 2) or distance(cosine))
+    count, root = threshold_links(vectors, np.ones(1024, np.int64), 0.93, split)
+    want, want_root = brute(vectors, np.ones(1024, np.int64), 0.93, split)
+    assert (count == want).all() and (root == want_root).all()
+    assert sum(steps) < 1024
+
+
 @pytest.mark.parametrize("block", [2048, 16])
 def test_rows_equal_brute_force(spark, block):
     rng = np.random.default_rng(4)
