@@ -31,6 +31,7 @@ from reportmill.session import scratch_dir
 
 LEAST = 75  # percent
 BATCH_BYTES = 4 << 20
+PIECE_BYTES = 1 << 18
 COUNTERS = 1 << 17
 SLICES = 16
 CELL_SHINGLES = 1 << 20
@@ -44,12 +45,23 @@ def _name() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit(_NO_ID - 1)).bitwiseOR(F.lit(_NO_ID)))
 
 
+def _sets(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``shingle_sets`` piece by piece: while it hashes a text it needs some fifty bytes for each of its bytes."""
+    made, first = [], 0
+    while first < len(offsets) - 1:
+        end = max(int(np.searchsorted(offsets, offsets[first] + PIECE_BYTES, "right")) - 1, first + 1)
+        made.append(shingle_sets(offsets[first : end + 1] - offsets[first], data[offsets[first] : offsets[end]]))
+        first = end
+    hashes, sizes = zip(*made, strict=True)
+    return np.concatenate(hashes), np.concatenate(sizes)
+
+
 def _batches(batches, limit: int = BATCH_BYTES):
     """(names, hashes, sizes) of groups of whole texts."""
     for batch in batches:
         names = int64s(batch.column(0))
         for first, end, offsets, data in whole_texts(batch.column(1), limit):
-            yield names[first:end], *shingle_sets(offsets, data)
+            yield names[first:end], *_sets(offsets, data)
 
 
 def _digests(hashes: np.ndarray, sizes: np.ndarray) -> list[bytes]:
@@ -228,7 +240,7 @@ def _search(least: int):
             for a, b in zip(first.tolist(), [*first[1:].tolist(), table.num_rows], strict=True):
                 sets = []
                 for _, _, offsets, data in whole_texts(table["text"].chunk(0).slice(a, b - a), BATCH_BYTES):
-                    hashes, sizes = shingle_sets(offsets, data)
+                    hashes, sizes = _sets(offsets, data)
                     sets += np.split(hashes, np.cumsum(sizes)[:-1])
                 links += links_of_cell(names[a:b], sets, labels[a:b], asks[a:b], least)
         return pa.table([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["u", "v"])

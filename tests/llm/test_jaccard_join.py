@@ -2,8 +2,10 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from reportmill.llm import jaccard_join
@@ -116,3 +118,21 @@ def test_query_equals_brute_force(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
     want = {name: w for (name, _), w in zip(docs, brute(docs), strict=True)}
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in op3_jaccard_join(spark, folder).collect()} == want
+
+
+def test_texts_are_hashed_in_pieces():
+    """A batch's sets are those of its texts one by one, and hashing them takes a few times the batch's bytes."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(1, 9))) for _ in range(500)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 900))) for _ in range(2400)] + [None, "", " ".join(rng.choices(words, k=90_000))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["name", "text"])
+    tracemalloc.start()
+    made = list(jaccard_join._batches([batch]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 9 * batch.nbytes
+    assert [n for names, _, _ in made for n in names.tolist()] == list(range(len(texts)))
+    sets = [x.tolist() for _, hashes, sizes in made for x in np.split(hashes, np.cumsum(sizes)[:-1])]
+    for text, found in list(zip(texts, sets, strict=True))[-40:]:
+        raw = (text or "").encode()
+        assert found == shingle_sets(np.array([0, len(raw)]), np.frombuffer(raw, np.uint8))[0].tolist()
