@@ -10,6 +10,7 @@ from reportmill.config import ARREST_WORDS, CATEGORIES, EXCLUDE_WORDS, NOT_PLACE
 from reportmill.functions import names, text, times, tokens, urls
 from reportmill.operators.police import number
 from reportmill.operators.similarity import order_words
+from reportmill.operators.stages import compute_once
 
 
 def classify_sql(column: str) -> str:
@@ -59,8 +60,8 @@ def clean_description_sql(clean: str) -> str:
 
 
 def classify_documents(spark, folder):
-    d = B.documents(spark, folder)
-    return d.select("doc_id", text.classify(F.col("text")).alias("category"), text.classify_raw(F.col("text")).alias("phrase"))
+    d = B.documents(spark, folder).select("doc_id", "text")
+    return compute_once(d, {"found": text.classified(F.col("text"))}).select("doc_id", "found.category", "found.phrase")
 
 
 def classify_titles(spark, folder):

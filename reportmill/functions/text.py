@@ -26,8 +26,8 @@ def classified(text: Column, taxonomy: Taxonomy = TAXONOMY) -> Column:
     """(category, phrase) in one pass over the rules: each runs once and only until one matches."""
 
     def hit(identifier: str, words) -> Column:
-        found = F.nullif(F.regexp_extract(text, whole_words(words), 0), F.lit(""))
-        return let(found, lambda p: F.when(p.isNotNull(), F.struct(F.lit(identifier).alias("category"), F.lower(p).alias("phrase"))))
+        found = F.regexp_extract(text, whole_words(words), 0)
+        return let(found, lambda p: F.when(p != "", F.struct(F.lit(identifier).alias("category"), F.lower(p).alias("phrase"))))
 
     none = F.struct(F.lit(taxonomy.fallback).alias("category"), F.lit(None).cast("string").alias("phrase"))
     return F.coalesce(*[hit(c.id, c.words) for c in taxonomy.categories if c.words], none)

@@ -3,6 +3,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from reportmill.catalog import bindings as B
+from reportmill.catalog.texts import classify_documents
+from reportmill.config import TAXONOMY
 from reportmill.functions import names, patterns, times
 from reportmill.functions import text as T
 from reportmill.functions.patterns import portable, trimmed
@@ -166,3 +169,14 @@ def test_police_lines_are_parsed_once(spark):
     rows = parse_police_lines(lines).select("seq", "title", "city", "invalid")
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
     assert sorted(map(tuple, rows.collect())) == [(1, "a", "goa", False), (2, None, None, True)]
+
+
+def test_documents_meet_each_rule_once(spark, tmp_path):
+    """classify_documents finds category and phrase in one pass over the rules."""
+    rows = [(i, "en", "src0", None if i == 3 else f"x {title}.\nmore") for i, (title, _) in enumerate(TITLES)]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = classify_documents(spark, str(tmp_path))
+    text = B.documents(spark, str(tmp_path)).select("doc_id", T.classify(F.col("text")).alias("category"), T.classify_raw(F.col("text")).alias("phrase"))
+    assert sorted(df.collect()) == sorted(text.collect())
+    plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("regexp_extract(") + plan.count("rlike(") <= sum(1 for c in TAXONOMY.categories if c.words)
