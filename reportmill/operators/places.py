@@ -58,21 +58,6 @@ def name_index(gazetteer: DataFrame) -> DataFrame:
     return stations.unionByName(names).select("city", "use", "gram", "entry", "position", F.length("gram").alias("n"))
 
 
-def _grams(text: Column, longest: int) -> Column:
-    """Distinct runs of 1..longest words."""
-
-    def runs(words: Column) -> Column:
-        per_length = F.transform(
-            F.sequence(F.lit(1), F.least(F.lit(longest), F.size(words))),
-            lambda n: F.transform(
-                F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " ")
-            ),
-        )
-        return F.array_distinct(F.flatten(per_length))
-
-    return let(F.split(text, " "), runs)
-
-
 def _station_keys(text: Column, hay: int) -> Column:
     """Every word suffix of every phrase before a police word, with its rank."""
 
@@ -84,7 +69,7 @@ def _station_keys(text: Column, hay: int) -> Column:
                 F.lit(hay).alias("hay"),
                 at.alias("at"),
                 i.alias("step"),
-                F.array_join(F.slice(words, i, F.size(words)), " ").alias("gram"),
+                F.slice(words, i, F.size(words)).alias("run"),
             ),
         )
 
@@ -93,14 +78,19 @@ def _station_keys(text: Column, hay: int) -> Column:
 
 
 def _name_keys(normal: Column, hay: int, longest: int) -> Column:
-    return F.transform(
-        _grams(F.coalesce(normal, F.lit("")), longest),
-        lambda g: F.struct(F.lit(1).alias("use"), F.lit(hay).alias("hay"), F.lit(0).alias("at"), F.lit(0).alias("step"), g.alias("gram")),
-    )
+    """The run of ``longest`` words from every word on, shorter at the end."""
+
+    def runs(words: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(1), F.size(words)),
+            lambda i: F.struct(F.lit(1).alias("use"), F.lit(hay).alias("hay"), F.lit(0).alias("at"), F.lit(0).alias("step"), F.slice(words, i, longest).alias("run")),
+        )
+
+    return let(F.split(F.coalesce(normal, F.lit("")), " "), runs)
 
 
 def _passes(rows: DataFrame, key: str, longest: int) -> DataFrame:
-    """(key, city, pass, search key…): pass 0 looks at location_text alone, pass 1 at title, keywords and text."""
+    """(key, city, pass, word run…): pass 0 looks at location_text alone, pass 1 at title, keywords and text."""
     text = F.coalesce("text", F.lit(""))
     normal = rows.select(
         key, "city", "title", "text", "location_text",
@@ -122,15 +112,25 @@ def _passes(rows: DataFrame, key: str, longest: int) -> DataFrame:
     return spread.select(key, "city", "s.look", "s.k.*")
 
 
+def _keys(spread: DataFrame, index: DataFrame) -> DataFrame:
+    """Search keys of word runs: for stations the whole run, for names its beginnings. Runs whose first word begins no entry end here."""
+    words = F.split("gram", " ")
+    heads = index.groupBy("city", "use", words[0].alias("head")).agg(F.max(F.size(words)).alias("most"))
+    met = spread.withColumn("head", F.col("run")[0]).join(broadcast_if_small(heads), ["city", "use", "head"])
+    beginnings = F.transform(F.sequence(F.lit(1), F.least("most", F.size("run"))), lambda n: F.array_join(F.slice("run", F.lit(1), n), " "))
+    gram = F.explode(F.when(F.col("use") == 0, F.array(F.array_join("run", " "))).otherwise(beginnings))
+    return met.select(*[c for c in met.columns if c not in ("head", "most", "run")], gram.alias("gram"))
+
+
 def match_places(rows: DataFrame, gazetteer: DataFrame, key: str) -> DataFrame:
     """(key, by_location, by_text): the best gazetteer entry of each look, where one exists.
 
     Station phrases come before names; earlier texts before later ones; longer names before shorter; then gazetteer order.
-    Search keys meet the index in one equi-join; only hits are shuffled.
+    Words meet the first words of the index, few as these are; from there keys meet the index in one equi-join. Only hits are shuffled.
     """
     index = name_index(gazetteer).checkpoint()
     longest = index.agg(F.max(F.size(F.split("gram", " ")))).first()[0] or 1
-    hits = _passes(rows, key, longest).join(broadcast_if_small(index), ["city", "use", "gram"])
+    hits = _keys(_passes(rows, key, longest), index).join(broadcast_if_small(index), ["city", "use", "gram"])
     order = F.struct("use", "hay", "at", "step", (-F.col("n")).alias("n"), "position")
     best = lambda look: F.min_by(F.when(F.col("look") == look, F.col("entry")), F.when(F.col("look") == look, order))
     return hits.groupBy(key).agg(best(0).alias("by_location"), best(1).alias("by_text"))

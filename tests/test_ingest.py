@@ -3,9 +3,11 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from reportmill.config import STOP_NAMES
 from reportmill.operators.eligibility import eligibility_stats, eligible
 from reportmill.operators.hotkeys import first_by, join_unique
-from reportmill.operators.places import resolve_locations
+from reportmill.operators import places
+from reportmill.operators.places import match_places, name_index, resolve_locations
 from reportmill.operators.police import locate_police_reports, map_police_rows, reject_counts
 from reportmill.operators.sampling import sample_evenly, sample_with_refill
 from reportmill.plans.params import parse_area, parse_filter, parse_page, parse_resolution
@@ -87,6 +89,25 @@ GAZ = [
 GEO = [("delhi|quiet lane", 28.6, 77.3, "x"), ("delhi|lost place", None, None, None), ("goa|outside", 28.0, 77.0, "far")]
 
 
+def test_names_in_texts_equal_brute_force(spark):
+    """Names of one to three words that share first words, in titles, keywords and texts; only words that begin a name make keys."""
+    words = ["rohini", "sector", "green", "park", "lake", "view", "aaaa", "bbbb", "cccc", "dddd"]
+    pick = lambda i, k: [words[(i * 7 + k * k * 3 + i * k) % 10] for k in range(k)]
+    names = sorted({" ".join(pick(i, 1 + i % 3)) for i in range(40)} - set(STOP_NAMES))
+    gaz = spark.createDataFrame([(i, "delhi", n.title(), "locality", 28.5, 77.2) for i, n in enumerate(names)], GAZETTEER)
+    rows = [(i, "goa" if i % 9 == 8 else "delhi", " ".join(pick(i, i % 4)), [" ".join(pick(i + 5, 2))], " ".join(pick(i + 3, 30)), None) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, city string, title string, keywords array<string>, text string, location_text string")
+    want = {}
+    for i, city, title, keywords, text, _ in rows:
+        hits = [(hay, -len(n), p, n) for hay, h in enumerate((title, keywords[0], text)) for p, n in enumerate(names) if f" {n} " in f" {h} "]
+        if hits and city == "delhi":
+            want[i] = min(hits)[3].title()
+    assert {r.id: r.by_text.name for r in match_places(df, gaz, "id").collect()} == want and want
+    far = spark.createDataFrame([(1, "delhi", "", [""], "x y z " * 200 + "rohini sector", None)], df.schema)
+    index = name_index(spark.createDataFrame([(1, "delhi", "Rohini Sector Park", "locality", 28.5, 77.2), (2, "delhi", "Rohini", "police_station", 28.5, 77.2)], GAZETTEER))
+    assert sorted(r.gram for r in places._keys(places._passes(far, "id", 3), index).collect()) == ["rohini", "rohini sector"]
+
+
 def located(spark, rows):
     schema = "id int, city string, title string, keywords array<string>, text string, location_text string, lat double, lng double"
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], schema)
