@@ -356,12 +356,16 @@ def place_index(spark, folder):
 
 # Every name is looked for in every text; phrases before police words are taken apart word by word.
 _PS = r"([A-Z][A-Za-z.''-]*(?:\s+[A-Z][A-Za-z.''-]*){0,3})\s+(?:police station|police post|PS)\b"
-_MATCH_SQL = f"""{_INDEX_SQL}, {B.PLACE_TEXTS_SQL},
+
+
+def _match_sql(names: str, stations: str) -> str:
+    """The best hit of each look; ``names`` and ``stations`` are the parts of a text that are searched."""
+    return f"""{_INDEX_SQL}, {B.PLACE_TEXTS_SQL},
   hays AS MATERIALIZED (SELECT doc_id, city, 0 AS look, 0 AS hay, location_text AS raw, {normal_sql('location_text')} AS h FROM place_texts WHERE location_text IS NOT NULL
     UNION ALL SELECT doc_id, city, 1, 0, title, {normal_sql('title')} FROM place_texts
     UNION ALL SELECT doc_id, city, 1, 1, keywords, {normal_sql('keywords')} FROM place_texts
-    UNION ALL SELECT doc_id, city, 1, 2, substr(text, 1, 1500), {normal_sql('substr(text, 1, 1500)')} FROM place_texts),
-  station_hays AS (SELECT doc_id, city, look, hay, raw FROM hays WHERE look = 0 OR hay = 0 UNION ALL SELECT doc_id, city, 1, 1, substr(text, 1, 3000) FROM place_texts),
+    UNION ALL SELECT doc_id, city, 1, 2, {names}, {normal_sql(names)} FROM place_texts),
+  station_hays AS (SELECT doc_id, city, look, hay, raw FROM hays WHERE look = 0 OR hay = 0 UNION ALL SELECT doc_id, city, 1, 1, {stations} FROM place_texts),
   phrases AS (SELECT doc_id, city, look, hay, generate_subscripts(regexp_extract_all(raw, '{_PS}', 1), 1) AS m, unnest(regexp_extract_all(raw, '{_PS}', 1)) AS phrase FROM station_hays),
   tails AS (SELECT *, unnest(range(1, 9)) AS i, string_split({normal_sql('phrase')}, ' ') AS ws FROM phrases),
   station_hits AS (SELECT t.doc_id, t.look, 0 AS use, t.hay, t.m, t.i, 0 AS n, 0 AS position, s.name, 'police_station' AS kind, s.lat, s.lng FROM tails t JOIN stations s
@@ -370,7 +374,10 @@ _MATCH_SQL = f"""{_INDEX_SQL}, {B.PLACE_TEXTS_SQL},
     ON x.city = h.city AND contains(' ' || h.h || ' ', ' ' || x.gram || ' ')),
   hits AS (SELECT * FROM station_hits UNION ALL SELECT * FROM name_hits),
   best AS MATERIALIZED (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY doc_id, look ORDER BY use, hay, m, i, n, position) = 1)"""
-_MATCHES_SQL = f"""WITH {_MATCH_SQL} SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.name AS by_location, b.name AS by_text, b.kind AS kind
+
+
+_MATCH_SQL = _match_sql("substr(text, 1, 1500)", "substr(text, 1, 3000)")
+_MATCHES_SQL = f"""WITH {_match_sql("text", "text")} SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.name AS by_location, b.name AS by_text, b.kind AS kind
   FROM (SELECT * FROM best WHERE look = 0) a FULL JOIN (SELECT * FROM best WHERE look = 1) b ON a.doc_id = b.doc_id"""
 
 

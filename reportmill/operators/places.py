@@ -10,7 +10,8 @@ from reportmill.functions.names import haversine_km, normalize_ascii, normalize_
 from reportmill.functions.patterns import let, trimmed, whole_words
 from reportmill.operators.hotkeys import broadcast_if_small
 
-_STATION_TEXT, _NAME_TEXT = 3000, 1500
+# Characters of a text in which ``resolve_locations`` looks for stations and for names.
+STATION_TEXT, NAME_TEXT = 3000, 1500
 
 
 def in_city(city: Column, lat: Column, lng: Column) -> Column:
@@ -89,20 +90,21 @@ def _name_keys(normal: Column, hay: int, longest: int) -> Column:
     return let(F.split(F.coalesce(normal, F.lit("")), " "), runs)
 
 
-def _passes(rows: DataFrame, key: str, longest: int) -> DataFrame:
-    """(key, city, pass, word run…): pass 0 looks at location_text alone, pass 1 at title, keywords and text."""
+def _passes(rows: DataFrame, key: str, longest: int, station_text: int | None = None, name_text: int | None = None) -> DataFrame:
+    """(key, city, pass, word run…): pass 0 looks at location_text alone, pass 1 at title, keywords and text (whole texts for None)."""
     text = F.coalesce("text", F.lit(""))
+    upto = lambda c, most: c if most is None else F.substring(c, 1, most)
     normal = rows.select(
         key, "city", "title", "text", "location_text",
         normalize_name(F.col("location_text")).alias("_location"),
         normalize_name(F.col("title")).alias("_title"),
         normalize_name(F.array_join("keywords", " , ")).alias("_keywords"),
-        normalize_name(F.substring(text, 1, _NAME_TEXT)).alias("_text"),
+        normalize_name(upto(text, name_text)).alias("_text"),
     )
     first = F.concat(_station_keys(F.col("location_text"), 0), _name_keys(F.col("_location"), 0, longest))
     second = F.concat(
         _station_keys(F.col("title"), 0),
-        _station_keys(F.substring(F.col("text"), 1, _STATION_TEXT), 1),
+        _station_keys(upto(F.col("text"), station_text), 1),
         _name_keys(F.col("_title"), 0, longest),
         _name_keys(F.col("_keywords"), 1, longest),
         _name_keys(F.col("_text"), 2, longest),
@@ -122,15 +124,16 @@ def _keys(spread: DataFrame, index: DataFrame) -> DataFrame:
     return met.select(*[c for c in met.columns if c not in ("head", "most", "run")], gram.alias("gram"))
 
 
-def match_places(rows: DataFrame, gazetteer: DataFrame, key: str) -> DataFrame:
+def match_places(rows: DataFrame, gazetteer: DataFrame, key: str, station_text: int | None = None, name_text: int | None = None) -> DataFrame:
     """(key, by_location, by_text): the best gazetteer entry of each look, where one exists.
 
+    Texts are searched whole, or as far as ``station_text`` characters for stations and ``name_text`` for names.
     Station phrases come before names; earlier texts before later ones; longer names before shorter; then gazetteer order.
     Words meet the first words of the index, few as these are; from there keys meet the index in one equi-join. Only hits are shuffled.
     """
     index = name_index(gazetteer).checkpoint()
     longest = index.agg(F.max(F.size(F.split("gram", " ")))).first()[0] or 1
-    hits = _keys(_passes(rows, key, longest), index).join(broadcast_if_small(index), ["city", "use", "gram"])
+    hits = _keys(_passes(rows, key, longest, station_text, name_text), index).join(broadcast_if_small(index), ["city", "use", "gram"])
     order = F.struct("use", "hay", "at", "step", (-F.col("n")).alias("n"), "position")
     best = lambda look: F.min_by(F.when(F.col("look") == look, F.col("entry")), F.when(F.col("look") == look, order))
     return hits.groupBy(key).agg(best(0).alias("by_location"), best(1).alias("by_text"))
@@ -165,7 +168,7 @@ def resolve_locations(rows: DataFrame, gazetteer: DataFrame, geocodes: DataFrame
     """
     given = F.col("lat").isNotNull() & F.col("lng").isNotNull()
     named = rows.withColumn("location_text", F.nullif("location_text", F.lit("")))
-    matches = match_places(named.filter(~given), gazetteer, key)
+    matches = match_places(named.filter(~given), gazetteer, key, STATION_TEXT, NAME_TEXT)
     joined = named.join(matches, key, "left")
     is_station = lambda m: F.col(m)["kind"] == "police_station"
     point = lambda m: F.struct(F.col(m)["name"].alias("name"), F.col(m)["lat"].alias("lat"), F.col(m)["lng"].alias("lng"))

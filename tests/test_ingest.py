@@ -108,6 +108,16 @@ def test_names_in_texts_equal_brute_force(spark):
     assert sorted(r.gram for r in places._keys(places._passes(far, "id", 3), index).collect()) == ["rohini", "rohini sector"]
 
 
+def test_names_are_found_in_whole_texts(spark):
+    """A name and a station's phrase far beyond the first thousands of characters; resolving locations looks only as far as it says."""
+    gaz = spark.createDataFrame([(1, "delhi", "Rohini Sector", "locality", 28.5, 77.2), (2, "delhi", "Kala Ghat", "police_station", 28.6, 77.3)], GAZETTEER)
+    far = "quiet words " * 1000
+    rows = [(1, "delhi", "", [""], far + "in rohini sector", None), (2, "delhi", "", [""], far + "rohini sector. Men of Old Kala Ghat PS came.", None), (3, "delhi", "", [""], far, None)]
+    df = spark.createDataFrame(rows, "id int, city string, title string, keywords array<string>, text string, location_text string")
+    assert {r.id: r.by_text.name for r in match_places(df, gaz, "id").collect()} == {1: "Rohini Sector", 2: "Kala Ghat"}
+    assert match_places(df, gaz, "id", 3000, 1500).isEmpty()
+
+
 def located(spark, rows):
     schema = "id int, city string, title string, keywords array<string>, text string, location_text string, lat double, lng double"
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], schema)
