@@ -9,11 +9,11 @@ from reportmill.config import TAXONOMY, Taxonomy
 from reportmill.functions.text import classified, clean_text, scrub_pii
 from reportmill.operators.events import assign_events
 from reportmill.operators.places import generic_office, resolve_locations
-from reportmill.operators.stages import compute_once
+from reportmill.operators.stages import compute_once, written
 
 
-def rederive(reports: DataFrame, gazetteer: DataFrame, geocodes: DataFrame, taxonomy: Taxonomy = TAXONOMY) -> DataFrame:
-    """Scrubs texts again, reclassifies news and relocates rows whose station is a generic office."""
+def _cleaned(reports: DataFrame, taxonomy: Taxonomy) -> DataFrame:
+    """Texts scrubbed again, and news classified again."""
     news = F.col("source_type") == "news"
     clean = reports.withColumns(
         {
@@ -23,20 +23,26 @@ def rederive(reports: DataFrame, gazetteer: DataFrame, geocodes: DataFrame, taxo
         }
     ).withColumn("_about", F.concat("title", F.lit(" "), F.coalesce("description", F.lit(""))))
     clean = compute_once(clean, {"_class": F.when(news, classified(F.col("_about"), taxonomy))})
-    clean = clean.withColumns(
+    return clean.withColumns(
         {
             "category": F.when(news, F.col("_class.category")).otherwise(F.col("category")),
             "category_raw": F.when(news, F.col("_class.phrase")).otherwise(F.col("category_raw")),
         }
     ).drop("_about", "_class")
+
+
+def rederive(reports: DataFrame, gazetteer: DataFrame, geocodes: DataFrame, taxonomy: Taxonomy = TAXONOMY) -> DataFrame:
+    """Scrubs texts again, reclassifies news and relocates rows whose station is a generic office."""
+    # Rows are told apart before the text rules, which would else run over all rows for every use of either part.
     generic = (F.coalesce("police_station", F.lit("")) != "") & generic_office(F.col("police_station"))
+    offices, others = _cleaned(reports.filter(generic), taxonomy), _cleaned(reports.filter(~generic), taxonomy)
     none = F.lit(None)
-    inputs = clean.filter(generic).select(
+    inputs = offices.select(
         "id", "city", "title", F.array().cast("array<string>").alias("keywords"), F.coalesce("description", F.lit("")).alias("text"),
         none.cast("string").alias("location_text"), none.cast("double").alias("lat"), none.cast("double").alias("lng"),
     )
     where = resolve_locations(inputs, gazetteer, geocodes, "id").select("id", F.col("location").alias("_w"))
-    moved = clean.filter(generic).join(where, "id")
+    moved = offices.join(where, "id")
     inside = F.col("_w.in_area")
     moved = moved.withColumns(
         {
@@ -47,8 +53,9 @@ def rederive(reports: DataFrame, gazetteer: DataFrame, geocodes: DataFrame, taxo
             "geo_precision": F.when(inside, F.col("_w.geo_precision")).otherwise(F.lit("city")),
         }
     )
-    return moved.select(*reports.columns).unionByName(clean.filter(~generic))
+    return moved.select(*reports.columns).unionByName(others)
 
 
 def reprocess(reports: DataFrame, gazetteer: DataFrame, geocodes: DataFrame, taxonomy: Taxonomy = TAXONOMY) -> DataFrame:
-    return assign_events(rederive(reports, gazetteer, geocodes, taxonomy))
+    # Grouping reads the reports several times; the text rules run once.
+    return assign_events(written(rederive(reports, gazetteer, geocodes, taxonomy)))
